@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradus.llm.simhash_dedup import op10_simhash_dedup
+from gradus.llm.token_store import op4_token_store
 
 QUERIES = {
+    "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
