@@ -5,10 +5,12 @@ from __future__ import annotations
 from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
+from gradus.llm.mixing import OP2_SQL, op2_mixing
 from gradus.llm.simhash_dedup import op10_simhash_dedup
 from gradus.llm.token_store import op4_token_store
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 QUERY_SQL = {
+    "op2_mixing": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
 }
