@@ -49,7 +49,7 @@ def boilerplate_lines(
     rows = pages.select(host.alias("__host"), "text")
     totals = rows.groupBy("__host").agg(F.count("*").alias("host_pages"))
     keys = F.array_distinct(
-        F.transform(F.filter(F.transform(_lines(F.col("text")), F.btrim), lambda x: x != ""), _digest)
+        F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x: F.btrim(x)), lambda x: x != ""), _digest)
     )
     counts = (
         rows.select("__host", F.explode(keys).alias("__line"))
