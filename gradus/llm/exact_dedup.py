@@ -64,7 +64,9 @@ def exact_dedup(
         .agg(F.max(id_col).alias("__keep"), F.count("*").alias("__size"))
         .where("__size > 1")
     )
-    out = rows.drop("text", "__len", "__pre").join(groups, "__full", "left")
+    # Rows without a full hash match nothing; a key of their own spreads them.
+    own = F.concat(F.lit("-"), F.hex(F.xxhash64(id_col, "__len", "__pre")))
+    out = rows.withColumn("__full", F.coalesce("__full", own)).drop("text", "__len", "__pre").join(groups, "__full", "left")
     single = F.col("__size").isNull()
     return out.select(
         *[c for c in docs.columns if c not in ("text", "keep_id", "group_size", "kept")],
