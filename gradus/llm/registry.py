@@ -8,6 +8,7 @@ from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradus.llm.mixing import OP2_SQL, op2_mixing
 from gradus.llm.simhash_dedup import op10_simhash_dedup
 from gradus.llm.token_store import op4_token_store
+from gradus.llm.toxicity_crf import op8_toxicity_crf
 
 QUERIES = {
     "op2_mixing": op2_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity_crf": op8_toxicity_crf,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
