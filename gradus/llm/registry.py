@@ -6,12 +6,14 @@ from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradus.llm.mixing import OP2_SQL, op2_mixing
+from gradus.llm.quality_cnn import op3_quality_cnn
 from gradus.llm.simhash_dedup import op10_simhash_dedup
 from gradus.llm.token_store import op4_token_store
 from gradus.llm.toxicity_crf import op8_toxicity_crf
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_quality_cnn": op3_quality_cnn,
     "op4_token_store": op4_token_store,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,

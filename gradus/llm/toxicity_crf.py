@@ -49,7 +49,7 @@ MIN_DOCS = 3
 #: ... and marks them without more ado if it is in this part of the toxic documents.
 COMMON = 0.03
 COMMON_DOCS = 8
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 EPOCHS = 40
 THRESHOLD = 0.5
 _STRIP = ".,;:!?\"'()[]{}<>*#&%$|_-~`/\\"
