@@ -5,6 +5,7 @@ from __future__ import annotations
 from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
+from gradus.llm.media_jpeg import op1_media_jpeg
 from gradus.llm.mixing import OP2_SQL, op2_mixing
 from gradus.llm.quality_cnn import op3_quality_cnn
 from gradus.llm.simhash_dedup import op10_simhash_dedup
@@ -12,6 +13,7 @@ from gradus.llm.token_store import op4_token_store
 from gradus.llm.toxicity_crf import op8_toxicity_crf
 
 QUERIES = {
+    "op1_media_jpeg": op1_media_jpeg,
     "op2_mixing": op2_mixing,
     "op3_quality_cnn": op3_quality_cnn,
     "op4_token_store": op4_token_store,
