@@ -7,6 +7,7 @@ from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradus.llm.media_jpeg import op1_media_jpeg
 from gradus.llm.mixing import OP2_SQL, op2_mixing
+from gradus.llm.pii import op9_pii
 from gradus.llm.quality_cnn import op3_quality_cnn
 from gradus.llm.simhash_dedup import op10_simhash_dedup
 from gradus.llm.token_store import op4_token_store
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_crf": op8_toxicity_crf,
+    "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
