@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.bpe import Generations, default_path
+from gradus.llm.bpe import default_path
 from gradus.llm.common import documents, pieces, scratch_path, snapshot
+from gradus.llm.piece_table import ENTRIES, PieceTable
 
 MAGIC = b"GRADTOK1"
 TRAILER = "<8sIQ"
@@ -50,13 +51,15 @@ _SEP = "<|endoftext|>"
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece between blanks.
+    """The tokenizers library, asked once for each distinct word (module piece_table).
 
     Texts are cut at blanks and line feeds, where the library's own pre-tokenizer cuts as
-    well. Pieces not seen before go to the library in one call, parted by a special token.
+    well, and a full stop or comma behind letters is cut off, as it does too. The library
+    ignores case, so texts that it would not change otherwise are lower-cased first. Words
+    not seen before go to the library in one call.
     """
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = ENTRIES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,36 +67,43 @@ class LibraryEncoder:
 
         self.tool = Tokenizer.from_file(path)
         self.mark = self.tool.token_to_id(_SEP)
-        self.type = np.dtype("<u2") if self.tool.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.table = Generations(entries)
+        vocabulary = self.tool.get_vocab()
+        self.type = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.table = PieceTable(self._learn, entries)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes of ``type``."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tool.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Asks the library for the ids of ``new`` pieces."""
         known: dict[str, bytes] = {}
-        new = []
-        for piece in {p for s in split for p in s}:
-            try:
-                known[piece] = self.table[piece]
-            except KeyError:
-                new.append(piece)
-        plain = [p for p in new if "<" not in p and "|" not in p]
-        if plain:
-            ids = np.asarray(
-                self.tool.encode_batch_fast([_SEP.join(plain)], add_special_tokens=False)[0].ids, self.type
-            )
+        words, odd, rest = [], [], []
+        for p in new:
+            (words if p.isalpha() else rest if "<" in p or "|" in p else odd).append(p)
+        if words:  # letters only: each ends with the first token that has the word-end mark
+            ids = np.asarray(self.tool.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            self._share(words, ids, np.concatenate([[0], cuts[:-1]]), cuts, known)
+        if odd:  # parted by a special token, which none of them can hold
+            ids = np.asarray(self.tool.encode_batch_fast([_SEP.join(odd)], add_special_tokens=False)[0].ids, self.type)
             cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(plain) - 1:
-                raise ValueError("the library joined pieces that blanks part")
-            starts = [0, *(cuts + 1).tolist()]
-            for piece, a, b in zip(plain, starts, [*cuts.tolist(), len(ids)], strict=True):
-                known[piece] = ids[a:b].tobytes()
-        for piece in set(new) - set(plain):
-            ids = self.tool.encode(piece, add_special_tokens=False).ids
-            known[piece] = np.asarray(ids, self.type).tobytes()
-        for piece in new:
-            self.table.put(piece, known[piece])
-        return [b"".join([known[p] for p in s]) for s in split]
+            self._share(odd, ids, np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)), known)
+        for p in rest:
+            known[p] = self._ids(p)
+        return [known[p] for p in new]
+
+    def _share(self, names: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: dict[str, bytes]) -> None:
+        if len(starts) != len(names):
+            raise ValueError("the library joined words that blanks part")
+        data, width = ids.tobytes(), self.type.itemsize
+        for p, a, b in zip(names, (starts * width).tolist(), (ends * width).tolist(), strict=True):
+            known[p] = data[a:b]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes of ``type``."""
+        return [b"".join(values) for values in self.table.look_up(texts)]
 
 
 @functools.lru_cache(2)
@@ -258,7 +268,7 @@ def _write_shards(root: str, path: str, end_id: int):
         at = copy = 0
         before: object = ()
         end = np.asarray([end_id], coder.type).tobytes()
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             if out is None:
                 system, held, final = _open_new(root, name)
                 out = system.open_output_stream(held)
