@@ -17,7 +17,7 @@ def library():
 def same(library, text):
     ids = library.encode(text, add_special_tokens=False).ids
     coder = encoder(default_path())
-    got, decoded = coder.encode_decode(text)
+    _, decoded = coder.encode_decode([text])[0]
     assert coder.encode(text) == ids
     assert decoded == coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
