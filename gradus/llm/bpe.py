@@ -27,6 +27,7 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import documents, pieces
+from gradus.llm.piece_table import ENTRIES, PieceTable
 
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of a worker's table of encoded pieces; when full, the older half goes.
-TABLE_ENTRIES = 300_000
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -57,23 +56,13 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Generations(dict):
-    """A table that forgets: reads fall back to the previous generation."""
-
-    def __init__(self, entries: int):
-        super().__init__()
-        self.half, self.old = max(1, entries // 2), {}
+class Coded(tuple):
+    """(ids as bytes, their texts with a blank before each); sums are joined codings."""
 
-    def __missing__(self, key):
-        value = self.old[key]  # KeyError: unknown
-        self.put(key, value)
-        return value
+    __slots__ = ()
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def __add__(self, other: Coded) -> Coded:
+        return Coded((self[0] + other[0], self[1] + other[1]))
 
 
 class PrefixEncoder:
@@ -83,7 +72,7 @@ class PrefixEncoder:
     before, a Split pattern and no decoder, as ``word_bpe_49k.json`` has.
     """
 
-    def __init__(self, path: str, table_entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str, table_entries: int = ENTRIES):
         import ahocorasick
         import regex
 
@@ -103,7 +92,8 @@ class PrefixEncoder:
         self.token = [""] * (max([*self.vocab.values(), *added.values()]) + 1)
         for text, i in [*self.vocab.items(), *added.items()]:
             self.token[i] = text
-        self.id_type = np.dtype("<u2") if len(self.token) <= 1 << 16 else np.dtype("<u4")
+        self.id_type = np.dtype("u2") if len(self.token) <= 1 << 16 else np.dtype("u4")
+        self.letter = "H" if self.id_type.itemsize == 2 else "I"
         self.suffix = model["end_of_word_suffix"]
         self.letters = byte_letters()
         self.pair: dict[tuple[int, int], tuple[int, int]] = {}  # (left, right) -> (rank, merged)
@@ -113,7 +103,7 @@ class PrefixEncoder:
             self.pair[self.vocab[left], self.vocab[right]] = (rank, merged)
             self.parts.setdefault(merged, (self.vocab[left], self.vocab[right], rank))
         self._standing: dict[int, bool] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         # The automaton's alphabet: byte letters, and one letter for the word's end.
         self.end = "\uffff"
         self.automaton = ahocorasick.Automaton()
@@ -122,8 +112,8 @@ class PrefixEncoder:
             if key != self.end and self.stands(i):
                 self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
-        self.word_table = Generations(table_entries)
-        self.piece_table = Generations(table_entries)
+        self.table = None
+        self.table = PieceTable(lambda new: [self._encode_piece(p) for p in new], table_entries)
 
     # -- pair compatibility
 
@@ -157,14 +147,12 @@ class PrefixEncoder:
             )
         return self._standing[token]
 
-    def fits(self, u: int, v: int) -> bool:
-        key = (u, v)
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = not self._crossed(u, v, float("inf"))
-        return known
+    def _fit(self, key: int) -> bool:
+        """Whether two tokens are compatible; ``key`` is left << 20 | right. Kept in a table."""
+        if len(self._fits) > 2_000_000:
+            self._fits.clear()
+        good = self._fits[key] = not self._crossed(key >> 20, key & 0xFFFFF, float("inf"))
+        return good
 
     # -- encoding
 
@@ -173,62 +161,59 @@ class PrefixEncoder:
         letters = self.letters
         key = "".join([letters[b] for b in word.encode()]) + self.end
         n = len(key)
-        last = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        fits = self.fits
+        last = [-1] * n  # the last token of the prefix that ends at a letter
+        back = [0] * n  # where that token starts
+        known, solved = self._fits.get, -1
         for at, (size, token) in self.automaton.iter(key):
-            end = at + 1
-            if last[end] >= 0:
+            if at == solved:
                 continue
-            start = end - size
-            if start == 0 or (last[start] >= 0 and fits(last[start], token)):
-                last[end] = token
-                back[end] = start
+            start = at - size
+            if start >= 0:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before << 20 | token
+                good = known(pair)
+                if not (self._fit(pair) if good is None else good):
+                    continue
+            last[at], back[at], solved = token, start + 1, at
         ids = []
         while n:
-            if last[n] < 0:
+            if last[n - 1] < 0:
                 raise ValueError(f"the vocabulary cannot express {word!r}")
-            ids.append(last[n])
-            n = back[n]
-        return ids[::-1]
-
-    def _encode_piece(self, piece: str) -> tuple[bytes, str]:
-        """(ids as bytes, decoded text with a leading blank for each token)."""
-        ids: list[int] = []
-        at = 0
+            ids.append(last[n - 1])
+            n = back[n - 1]
+        ids.reverse()
+        return ids
+
+    def _code(self, ids: list[int]) -> Coded:
+        token = self.token
+        return Coded((array(self.letter, ids).tobytes(), "".join([" " + token[i] for i in ids])))
+
+    def _encode_piece(self, piece: str) -> Coded:
+        if piece.isalpha() and piece.isascii():
+            return self._code(self.encode_word(piece.lower()))
+        out, at = Coded((b"", "")), 0
         marks = [(m.start(), m.end()) for m in self.special.finditer(piece)] if "<" in piece else []
         for start, end in [*marks, (len(piece), len(piece))]:
             text = unicodedata.normalize("NFC", piece[at:start])
             text = self.spaces.sub(" ", text).replace("Σ", "σ").lower()
             for word in self.words(text):
-                try:
-                    got = self.word_table[word]
-                except KeyError:
-                    got = self.encode_word(word)
-                    self.word_table.put(word, got)
-                ids += got
+                out += (self.table and self.table.young.get(word)) or self._code(self.encode_word(word))
             if end > start:
-                ids.append(self.added[piece[start:end]])
+                out += self._code([self.added[piece[start:end]]])
             at = end
-        return np.asarray(ids, self.id_type).tobytes(), "".join([" " + self.token[i] for i in ids])
-
-    def encode_decode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids of a text as little-endian bytes of ``id_type``, and what they decode to."""
-        table = self.piece_table
-        ids, shown = [], []
-        # Blanks and line feeds always part words; other white space is left to the pattern.
-        for piece in (text or "").replace("\n", " ").split(" "):
-            try:
-                got = table[piece]
-            except KeyError:
-                got = self._encode_piece(piece)
-                table.put(piece, got)
-            ids.append(got[0])
-            shown.append(got[1])
-        return b"".join(ids), "".join(shown)[1:]
+        return out
+
+    def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Of each text: its ids as bytes of ``id_type``, and what they decode to."""
+        out = []
+        for values in self.table.look_up(texts):
+            out.append((b"".join([v[0] for v in values]), "".join([v[1] for v in values])[1:]))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_decode(text)[0], self.id_type).tolist()
+        return np.frombuffer(self.encode_decode([text])[0][0], self.id_type).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode gives: no decoder, so token texts joined by blanks."""
@@ -253,8 +238,8 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in pieces(batches, "__text", 2 << 20):
-            got = [coder.encode_decode(t) for t in batch.column("__text").to_pylist()]
+        for batch in pieces(batches, "__text", 4 << 20):
+            got = coder.encode_decode(batch.column("__text").to_pylist())
             flat = np.frombuffer(b"".join([g[0] for g in got]), coder.id_type).astype(np.int32)
             ends = np.cumsum([0] + [len(g[0]) // coder.id_type.itemsize for g in got]).astype(np.int32)
             arrays = [batch.column(c) for c in carried] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]

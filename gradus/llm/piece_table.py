@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 #: Entries of each of the two generations that a table holds.
-ENTRIES = 400_000
+ENTRIES = 250_000
 STOPS = ".,"
 
 

@@ -288,7 +288,7 @@ def train(texts: list[tuple[str | None, int]], epochs: int = EPOCHS) -> Crf:
     for start in range(0, len(docs), 200):
         part = [tokens for tokens, _ in docs[start : start + 200]]
         lengths = np.asarray([len(d) for d in part], np.int64)
-        u = np.asarray([v for d in part for v in scorer.potentials(d)])
+        u = scorer.potentials(part)
         x.append(aggregates(marginals(u, lengths, t), lengths))
     model.calibration = _logistic(np.concatenate(x), np.asarray([y for _, y in docs], float))
     return model
@@ -320,29 +320,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 class _Scorer:
-    """A model with its table of word potentials; the table holds a bounded number of words."""
+    """A model with its table of word potentials; two generations bound its size."""
 
     def __init__(self, model: Crf, entries: int = 400_000):
-        from gradus.llm.bpe import Generations
-
-        self.model, self.table = model, Generations(entries)
-
-    def potentials(self, tokens: list[str]) -> list[float]:
-        table, out = self.table, []
-        for w in tokens:
-            try:
-                out.append(table[w])
-            except KeyError:
-                u = self.model.potential(_plain(w))
-                table.put(w, u)
-                out.append(u)
-        return out
+        self.model, self.entries = model, entries
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def potentials(self, texts: list[list[str]]) -> np.ndarray:
+        """Potentials of the words of all texts, one after another."""
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        for w in set().union(*texts):
+            if w not in young:
+                u = old.get(w)
+                young[w] = self.model.potential(_plain(w)) if u is None else u
+        return np.asarray([young[w] for words_ in texts for w in words_])
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Scores, and (start, end, marginal) of the tagged tokens of each text."""
         split = [words(t) for t in texts]
         lengths = np.asarray([len(s) for s in split], np.int64)
-        u = np.asarray([x for s in split for x in self.potentials(s)])
+        u = self.potentials(split)
         p = marginals(u, lengths, self.model.transitions)
         x = np.column_stack([np.ones(len(texts)), aggregates(p, lengths)]) @ np.asarray(self.model.calibration)
         scores = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
