@@ -70,7 +70,7 @@ def allocate(weights: DataFrame, group: list[str], weight: str, rank: str, total
     share = F.when(F.col("__sum") == 0, 1.0 / F.col("__n")).otherwise(F.col("__w") / F.col("__sum"))
     raw = shared.withColumn("__raw", share * total).withColumn("__base", F.floor("__raw"))
     left = F.lit(total) - F.sum("__base").over(w)
-    place = F.row_number().over(w.orderBy(F.desc(F.col("__raw") - F.col("__base")), rank))
+    place = F.row_number().over(w.orderBy(F.desc(F.round(F.col("__raw") - F.col("__base"), 12)), rank))
     given = raw.withColumns({"__left": left, "__place": place})
     slots = (F.col("__base") + F.when(F.col("__place") <= F.col("__left"), 1).otherwise(0)).cast("bigint")
     return given.withColumn("slots", slots).drop("__w", "__sum", "__n", "__raw", "__base", "__left", "__place")

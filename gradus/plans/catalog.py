@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+from gradus.plans import curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, selection_plans, star_plans
+
+_MODULES = (curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, selection_plans, star_plans)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    if QUERIES.keys() & _m.R.queries.keys():
+        raise ValueError("a query name is used twice")
+    QUERIES |= _m.R.queries
+    ORACLE_SQL |= _m.R.sql
+
 FLAGSHIP = "continual_metrics"
