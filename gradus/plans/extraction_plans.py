@@ -284,3 +284,25 @@ def code_status(spark, sf_dir):
     c = tables(spark, sf_dir, "conversations")
     code = F.concat(F.lit("```python\nx = "), F.when(F.col("turn") % 2 == 0, F.col("conv_id").cast("string")).otherwise("("), F.lit("\n```"))
     return c.select("conv_id", "turn", code_status_udf(code).alias("status"))
+
+
+@R.add(
+    "equation_checks",
+    """WITH e AS (SELECT l_orderkey AS k, l_linenumber AS i, (l_partkey % 7)::BIGINT AS a, (l_suppkey % 9)::BIGINT AS b, l_quantity::BIGINT AS x, l_linenumber % 5 AS f, CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END AS off FROM lineitem)
+SELECT k, i, CASE f WHEN 0 THEN 'addition' WHEN 1 THEN 'soustraction' WHEN 2 THEN 'distributivite' WHEN 3 THEN 'fraction' END AS form,
+  CASE WHEN f < 4 THEN a <> 0 AND CASE f WHEN 3 THEN off = 0 ELSE off = 0 END END AS holds FROM e""",
+)
+def equation_checks(spark, sf_dir):
+    from gradus.functions.equations import equation_form, solves
+
+    li = tables(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 9).alias("b"),
+        F.col("l_quantity").cast("bigint").alias("x"), (F.col("l_linenumber") % 5).alias("f"), F.when(F.col("l_orderkey") % 4 == 0, 1).otherwise(0).alias("off"),
+    )
+    f, a, b, x, off = (F.col(c) for c in ("f", "a", "b", "x", "off"))
+    text_ = (
+        F.when(f == 0, F.format_string("Trouve x : %dx + %d = %d", a, b, a * x + b + off)).when(f == 1, F.format_string("Trouve x : %dx - %d = %d", a, b, a * x - b + off))
+        .when(f == 2, F.format_string("%d(x + %d) = %d", a, b, a * (x + b) + off)).when(f == 3, F.format_string("x/%d + %d = %d", a, b, x + b + off)).otherwise("rien")
+    )
+    q = li.withColumn("q", text_).withColumn("v", F.when(f == 3, x * a).otherwise(x))
+    return q.select("k", "i", equation_form(F.col("q")).alias("form"), solves(F.col("q"), F.col("v")).alias("holds"))

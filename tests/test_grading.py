@@ -162,10 +162,16 @@ def test_text_and_classes(spark):
     assert v(classify.subtype(s("Calcule : 6 / 2 * 3"), s("maths"))) == "division" and v(classify.exercise_type(s("Calcule : 6 / 2 * 3"), s("maths"))) == "multiplication"
     assert v(classify.subtype(s("Résous : 3x - 4 = 5"), s("algebre"))) == "equation_soustraction"
     assert v(classify.error_category(s("execution_error"), s("NameError: x"))) == "NameError" and v(classify.error_category(s("execution_error"), s(None))) == "other_execution_error"
-    assert v(numeric.floor_div(F.lit(-7), F.lit(2))) == -4
+    assert v(numeric.floor_div(F.lit(-7), F.lit(2))) == -4 and v(text.prompt("sys", s("user"))) == "sys\n\nuser"
 
 
 @pytest.mark.parametrize(("gained", "lost", "p"), [(0, 0, 1.0), (8, 1, 0.0390625), (8, 0, 0.0078125), (3, 3, 1.0), (600, 500, 0.0028), (3000, 2900, 0.198)])
 def test_mcnemar(spark, gained, lost, p):
     got = spark.range(1).select(numeric.mcnemar_exact(F.lit(gained), F.lit(lost))).first()[0]
     assert got == pytest.approx(p, rel=1e-12 if gained < 100 else 0.02)
+
+
+def test_graders_by_name_in_sql(spark):
+    grading.register(spark)
+    row = spark.sql(r"select last_boxed('a \\boxed{3}') b, grade_math('3', 'x \\boxed{3}').correct c, python_round(2.675D) r").first()
+    assert tuple(row) == ("\\boxed{3}", True, 2.67)
