@@ -166,17 +166,19 @@ def _label_features(docs: list[tuple[list[str], int]]) -> set[str]:
     clean: Counter = Counter()
     n_clean = 0
     for tokens, label in docs:
-        seen = {w for w in tokens if w}
         if not label:
             n_clean += 1
-            clean.update({f for w in seen for f in features(w)})
             continue
+        seen = {w for w in tokens if w}
         key = tuple(sorted(zlib.crc32(w.encode()) for w in seen)[:4])
         doc = len(owner)
         owner.append(groups.setdefault(key, len(groups)))
         for w in seen:
             for f in features(w):
                 places.setdefault(f, set()).add(doc)
+    for tokens, label in docs:
+        if not label:  # only what toxic documents have is counted
+            clean.update({f for w in set(tokens) if w for f in features(w) if f in places})
     n_toxic = len(groups)
     distinct = {f: {owner[d] for d in ds} for f, ds in places.items()}
     able = {
@@ -223,7 +225,8 @@ def _log_sums(u: np.ndarray, mask: np.ndarray, t: np.ndarray) -> tuple[np.ndarra
 
 def train(texts: list[tuple[str | None, int]], epochs: int = EPOCHS) -> Crf:
     """A field learned from labelled documents."""
-    docs = [([_plain(w) for w in words(t)], int(y)) for t, y in texts]
+    same: dict[str, str] = {}  # one object for each word
+    docs = [([same.setdefault(p, p) for p in map(_plain, words(t))], int(y)) for t, y in texts]
     if len({y for _, y in docs}) < 2:
         return Crf()
     marks = _label_features(docs)
