@@ -33,6 +33,7 @@ from gradus.llm.common import documents, snapshot
 KEY = "gradus-pii-1"
 #: Attempts before a surrogate is taken as impossible (the space of a format is used up).
 MAX_ATTEMPTS = 50
+ENTITIES_PER_TASK = 5000
 
 # Titles by gender and script, and the names that surrogates are made of.
 TITLES = {
@@ -65,8 +66,19 @@ _NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{L}}'-]+)(?: \p{{Lu}}[\p
 #: In this order the first that matches at a place wins.
 KINDS = {"email": _EMAIL, "secret": _SECRET, "key_id": _KEY_ID, "ip": _IP, "phone": _PHONE, "card": _CARD, "name": _NAME}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without this has no entity: every pattern needs a digit, an @, an = or : sign, or a title.
-HINT = rf"[0-9@=]|(?i:(?:password|passwd|pwd|secret|token|key)\s{{0,3}}:)|(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}"
+
+
+def hinted(text: Column) -> Column:
+    """False only for texts without any entity: every pattern needs a digit, @ or =, a key id, a word
+    with a colon, or a title before a name. Plain substring searches come before patterns.
+    """
+    secret = text.contains(":") & text.rlike(r"(?i:(?:password|passwd|pwd|secret|token|key)\s{0,3}:)")
+    titles = sorted({t for ts in TITLES.values() for t in ts if not any(t != o and t.startswith(o) for os in TITLES.values() for o in os)})
+    some = text.contains(titles[0])
+    for t in titles[1:]:  # a title that begins with another one is found by it
+        some = some | text.contains(t)
+    named = some & text.rlike(rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}")
+    return F.coalesce(text.rlike("[0-9@=]") | text.contains("AKIA") | secret | named, F.lit(False))
 
 
 def _whole(pattern: str) -> str:
@@ -210,15 +222,17 @@ def surrogate(entity: Column, kind: Column) -> Column:
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(entity, kind, surrogate) for a table of distinct entities; surrogates are distinct."""
-    fresh = entities.select("entity", kind_of(F.col("entity")).alias("kind"))
-    fresh = snapshot(fresh, "entities")
+    # Entities are few bytes but much work, so they are dealt by their number, not their size.
+    fresh = snapshot(entities.select("entity", kind_of(F.col("entity")).alias("kind")), "entities")
+    parts = max(entities.sparkSession.sparkContext.defaultParallelism, -(-fresh.count() // ENTITIES_PER_TASK))
     open_ = fresh.withColumn("__attempt", F.lit(0))
     done: DataFrame | None = None
     for _ in range(MAX_ATTEMPTS):
         seed = F.concat_ws("|", F.lit(key), "kind", "entity", F.col("__attempt").cast("string"))
-        made = open_.withColumn("__stream", _stream(seed, F.length("entity"))).withColumn(
-            "surrogate", surrogate(F.col("entity"), F.col("kind"))
-        )
+        # The streams are written down: a character looks its two digits up, it must not
+        # make the stream anew.
+        dealt = open_.repartition(parts, "entity").withColumn("__stream", _stream(seed, F.length("entity")))
+        made = snapshot(dealt, "streams").withColumn("surrogate", surrogate(F.col("entity"), F.col("kind")))
         made = snapshot(made.drop("__stream"), "surrogates")
         # Not allowed: an entity that occurs, a surrogate given before, a surrogate of two.
         taken = fresh.select(F.col("entity").alias("surrogate"))
@@ -238,8 +252,8 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
 def replace_entities(docs: DataFrame, id_col: str = "doc_id", key: str = KEY) -> DataFrame:
     """``docs`` with entities replaced in ``text``; adds ``n_entities``. All other columns stay."""
     columns = [c for c in docs.columns if c not in ("text", "n_entities")]
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found = docs.where(hinted).withColumn("__found", detect(F.col("text"))).where(F.size("__found") > 0)
+    maybe = hinted(F.col("text"))
+    found = docs.where(maybe).withColumn("__found", detect(F.col("text"))).where(F.size("__found") > 0)
     pairs = found.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__found")).alias("entity")).distinct()
     pairs = snapshot(pairs, "found")
     table = surrogate_table(pairs.select("entity").distinct(), key)
@@ -253,7 +267,7 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", key: str = KEY) ->
     changed = found.join(maps, F.col(id_col).eqNullSafe(F.col("__id"))).select(
         *columns, rebuilt.alias("text"), F.size("__found").cast("long").alias("n_entities")
     )
-    nothing = ~hinted | (F.size(detect(F.col("text"))) == 0)
+    nothing = ~maybe | (F.size(detect(F.col("text"))) == 0)
     same = docs.where(nothing).select(*columns, "text", F.lit(0).cast("long").alias("n_entities"))
     return same.unionByName(changed)
 
