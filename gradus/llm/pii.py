@@ -117,29 +117,38 @@ _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQ
 _CYR = "абвгдежзиклмнопрстуфхцчшэюя"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _reformat(value: Column) -> Column:
     """Each character replaced by one of its class: digit, letter by case and script, else itself.
 
     A value of hex digits only, with letters and digits, stays hex. Characters are chosen
     by the key stream in ``__stream``.
     """
-    n = F.length(value)
-    hexed = value.rlike(r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}\z")
 
-    def one(i: Column) -> Column:
-        c = F.substr(value, i, F.lit(1))
-        x = F.conv(F.substr(F.col("__stream"), i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+    def one(x: Column, i: Column) -> Column:
+        c = F.substr(x["v"], i, F.lit(1))
+        n = F.conv(F.substr(x["s"], i * 2 - 1, F.lit(2)), 16, 10).cast("int")
         return (
-            F.when(hexed, _pick(_HEX, x))
-            .when(c.rlike("[0-9]"), _pick(_DIGITS, x))
-            .when(c.rlike(r"\p{IsCyrillic}") & c.rlike(r"\p{Lu}"), F.upper(_pick(_CYR, x)))
-            .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYR, x))
-            .when(c.rlike(r"\p{Lu}"), _pick(_UPPER, x))
-            .when(c.rlike(r"\p{L}"), _pick(_LOWER, x))
+            F.when(x["hex"], _pick(_HEX, n))
+            .when((c >= "0") & (c <= "9"), _pick(_DIGITS, n))
+            .when((c >= "a") & (c <= "z"), _pick(_LOWER, n))
+            .when((c >= "A") & (c <= "Z"), _pick(_UPPER, n))
+            .when(c < "\x7f", c)
+            .when(c.rlike(r"\p{IsCyrillic}") & c.rlike(r"\p{Lu}"), F.upper(_pick(_CYR, n)))
+            .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYR, n))
+            .when(c.rlike(r"\p{Lu}"), _pick(_UPPER, n))
+            .when(c.rlike(r"\p{L}"), _pick(_LOWER, n))
             .otherwise(c)
         )
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")).otherwise("")
+    hexed = value.rlike(r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}\z")
+    bound = F.struct(value.alias("v"), F.col("__stream").alias("s"), hexed.alias("hex"))
+    new = _let(bound, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["v"])), lambda i: one(x, i)), ""))
+    return F.when(F.length(value) > 0, new).otherwise("")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -156,22 +165,28 @@ def _luhn_sum(digits: Column) -> Column:
 
 def _card(entity: Column) -> Column:
     """Digits replaced, first digit and separators kept, check digit right if it was right."""
-    plain = F.regexp_replace(entity, "[ -]", "")
-    fresh = F.concat(F.substring(plain, 1, 1), F.substr(_reformat(plain), F.lit(2)))
-    body = F.substr(fresh, F.lit(1), F.length(fresh) - 1)
-    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    digits = F.when(F.pmod(_luhn_sum(plain), F.lit(10)) == 0, F.concat(body, check.cast("string"))).otherwise(fresh)
-
-    def put(state: Column, i: Column) -> Column:
-        c = F.substr(entity, i, F.lit(1))
-        sep = c.rlike("[ -]")
-        return F.struct(
-            F.concat(state["s"], F.when(sep, c).otherwise(F.substr(digits, state["k"], F.lit(1)))).alias("s"),
-            (state["k"] + F.when(sep, 0).otherwise(1)).alias("k"),
-        )
 
-    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(entity)), start, put, lambda s: s["s"])
+    def checked(p: Column, fresh: Column) -> Column:
+        body = F.concat(F.substr(p, F.lit(1), F.lit(1)), F.substr(fresh, F.lit(2), F.length(fresh) - 2))
+        check = _let(body, lambda b: F.concat(b, F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+        plain_end = F.concat(body, F.substr(fresh, F.length(fresh), F.lit(1)))
+        return F.when(F.pmod(_luhn_sum(p), F.lit(10)) == 0, check).otherwise(plain_end)
+
+    def put(digits: Column):
+        def step(state: Column, i: Column) -> Column:
+            c = F.substr(entity, i, F.lit(1))
+            sep = c.isin(" ", "-")
+            return F.struct(
+                F.concat(state["s"], F.when(sep, c).otherwise(F.substr(digits, state["k"], F.lit(1)))).alias("s"),
+                (state["k"] + F.when(sep, 0).otherwise(1)).alias("k"),
+            )
+
+        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(entity)), start, step, lambda x: x["s"])
+
+    plain = F.regexp_replace(entity, "[ -]", "")
+    digits = _let(F.struct(plain.alias("p"), _reformat(plain).alias("f")), lambda x: checked(x["p"], x["f"]))
+    return _let(digits, put)
 
 
 def _name(entity: Column, digest: Column) -> Column:
