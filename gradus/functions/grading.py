@@ -19,6 +19,21 @@ from pyspark.sql import types as T
 
 from gradus.functions.expressions import equal_values, read_values
 
+# How final answers are announced, what a strict answer looks like, and how
+# code stands in a response.
+_LABELS_A = re.compile(r"^(?:REPONSE|RÉPONSE|ANSWER|FINAL ANSWER|####)\s*[:：]?\s*(.+?)\s*$", re.I)
+_LABELS_B = re.compile(r"(?im)^\s*(?:REPONSE|RÉPONSE|FINAL_ANSWER|Final answer)\s*:\s*(.+?)\s*$")
+_STRICT_A = re.compile(r"REPONSE:\s*\S.*", re.I)
+_STRICT_B = re.compile(r"(?im)^\s*REPONSE\s*:\s*\$?\s*\\boxed\s*\{")
+_BARE_VALUE = re.compile(r"[\d\s.,+\-*/()]+")
+_SOLVED = re.compile(r"x\s*=\s*(.+)", re.I)
+_CHOICE = re.compile(r"\(?\s*([A-E])\s*\)?[.]?", re.I)
+_FENCE = re.compile(r"```(?:python)?\s*(.*?)```", re.I | re.S)
+_FENCE_LINE = re.compile(r"```(?:python|py)?[ \t]*\n(.*?)```", re.I | re.S)
+_CODE_LINE = re.compile(r"\s*(?:(?:async\s+)?def\s|class\s|import\s|from\s|@)")
+_STARTS = ("def ", "async def ", "import ", "from ", "@")
+SHORT_LINE = 128
+
 # -- boxed answers
 
 
@@ -55,11 +70,7 @@ def boxed_any(text: str | None) -> str | None:
     return None
 
 
-# -- final answers; fixed values: the labels that announce them
-
-_LABELS_A = re.compile(r"^(?:REPONSE|RÉPONSE|ANSWER|FINAL ANSWER|####)\s*[:：]?\s*(.+?)\s*$", re.I)
-_LABELS_B = re.compile(r"(?im)^\s*(?:REPONSE|RÉPONSE|FINAL_ANSWER|Final answer)\s*:\s*(.+?)\s*$")
-_STRICT_B = re.compile(r"(?im)^\s*REPONSE\s*:\s*\$?\s*\\boxed\s*\{")
+# -- final answers
 
 
 def _lines(text: str) -> list[str]:
@@ -71,15 +82,15 @@ def final_by_label(text: str | None) -> tuple[str | None, bool]:
     rows = _lines(text) if isinstance(text, str) else []
     if not rows:
         return None, False
-    strict = re.fullmatch(r"REPONSE:\s*\S.*", rows[-1], re.I) is not None
+    strict = _STRICT_A.fullmatch(rows[-1]) is not None
     named = (m.group(1).strip() for m in map(_LABELS_A.match, reversed(rows)) if m)
     value = next(filter(None, named), None) or boxed_whole(text)
     if value is not None:
         return value, strict
-    if len(rows[-1]) <= 128:
-        if re.fullmatch(r"[\d\s.,+\-*/()]+", rows[-1]):
+    if len(rows[-1]) <= SHORT_LINE:
+        if _BARE_VALUE.fullmatch(rows[-1]):
             return rows[-1], False
-        solved = re.fullmatch(r"x\s*=\s*(.+)", rows[-1], re.I)
+        solved = _SOLVED.fullmatch(rows[-1])
         if solved:
             return solved.group(1).strip(), False
     return None, False
@@ -143,7 +154,7 @@ def grade_choice(expected: str | None, response: str | None) -> dict:
     """Multiple choice A to E; the last line counts where no answer is announced."""
 
     def letter(x: str | None) -> str | None:
-        m = re.fullmatch(r"\(?\s*([A-E])\s*\)?[.]?", (x or "").strip(), re.I)
+        m = _CHOICE.fullmatch((x or "").strip())
         return m.group(1).upper() if m else None
 
     gold = letter(expected)
@@ -167,8 +178,6 @@ def rescue(candidate: str | None, expected: str | None) -> str:
 
 # -- programs
 
-_STARTS = ("def ", "async def ", "import ", "from ", "@")
-
 
 def parses(code: str) -> bool:
     try:
@@ -181,7 +190,7 @@ def parses(code: str) -> bool:
 def code_block(text: str | None) -> str:
     """First fenced block, else from the first line that looks like code, else all; not parsed."""
     text = (text or "").strip()
-    fenced = re.search(r"```(?:python)?\s*(.*?)```", text, re.I | re.S)
+    fenced = _FENCE.search(text)
     if fenced:
         return fenced.group(1).strip()
     text = re.sub(r"\s*```$", "", re.sub(r"^```(?:python)?\s*", "", text, flags=re.I))
@@ -193,13 +202,13 @@ def code_block(text: str | None) -> str:
 def code_that_parses(text: str | None) -> str:
     """First fenced block, else all if it parses, else the longest tail from a code line that does."""
     raw = (text or "").strip()
-    fenced = re.findall(r"```(?:python|py)?[ \t]*\n(.*?)```", raw, re.I | re.S)
+    fenced = _FENCE_LINE.findall(raw)
     if fenced:
         return fenced[0].strip()
     if not raw or parses(raw):
         return raw
     rows = raw.splitlines()
-    tails = ("\n".join(rows[i:]).strip() for i, r in enumerate(rows) if re.match(r"\s*(?:(?:async\s+)?def\s|class\s|import\s|from\s|@)", r))
+    tails = ("\n".join(rows[i:]).strip() for i, r in enumerate(rows) if _CODE_LINE.match(r))
     return next(filter(parses, tails), raw)
 
 
