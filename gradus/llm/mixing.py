@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gradus.llm.common import documents, snapshot
 
 #: Steps of a search and exponents that each tries; GRID ** -STEPS is below 1e-13.
-STEPS, GRID = 10, 20
+STEPS, GRID = 6, 200
 BIN_ROWS = 2000
 GROUP_BINS = 256
 SEED = "mix-42"
@@ -99,13 +99,11 @@ def find_exponent(shares: DataFrame, target: Target, low: float = 0.0, high: flo
     p = F.col("tokens") / F.lit(float(total))
 
     def flat(exponents: list[float]) -> list[bool]:
-        z = [F.sum(F.pow(p, F.lit(a))).alias(f"z{i}") for i, a in enumerate(exponents)]
-        zl = [F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{i}") for i, a in enumerate(exponents)]
-        got = used.agg(*z, *zl).first()
-        return [
-            _within({"z": got[f"z{i}"], "zl": got[f"l{i}"]}, total, smallest, largest, n, a, target)
-            for i, a in enumerate(exponents)
-        ]
+        # The grid is one array literal, so that all steps run the same compiled code.
+        tried = used.select(p.alias("p"), F.explode(F.lit(exponents)).alias("a"))
+        sums = tried.groupBy("a").agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p")).alias("zl"))
+        got = {r["a"]: {"z": r["z"], "zl": r["zl"]} for r in sums.collect()}  # a row for each exponent
+        return [_within(got[a], total, smallest, largest, n, a, target) for a in exponents]
 
     ends = flat([low, high])
     if not ends[0]:
