@@ -47,6 +47,8 @@ LOAD = 2.0
 #: Bytes of input that one shard takes, in the mean.
 SHARD_BYTES = 32 << 20
 
+#: Words that go to the library in one call; what it returns takes about 2 kB a word.
+ASKED = 8192
 _SEP = "<|endoftext|>"
 
 
@@ -77,7 +79,10 @@ class LibraryEncoder:
         return np.asarray(self.tool.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def _learn(self, new: list[str]) -> list[bytes]:
-        """Asks the library for the ids of ``new`` pieces."""
+        """Asks the library for the ids of ``new`` pieces, some thousands at a time."""
+        return [ids for at in range(0, len(new), ASKED) for ids in self._ask(new[at : at + ASKED])]
+
+    def _ask(self, new: list[str]) -> list[bytes]:
         known: dict[str, bytes] = {}
         words, odd, rest = [], [], []
         for p in new:
@@ -268,7 +273,7 @@ def _write_shards(root: str, path: str, end_id: int):
         at = copy = 0
         before: object = ()
         end = np.asarray([end_id], coder.type).tobytes()
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             if out is None:
                 system, held, final = _open_new(root, name)
                 out = system.open_output_stream(held)
