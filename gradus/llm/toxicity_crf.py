@@ -325,7 +325,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 class _Scorer:
     """A model with its table of word potentials; two generations bound its size."""
 
-    def __init__(self, model: Crf, entries: int = 400_000):
+    def __init__(self, model: Crf, entries: int = 150_000):
         self.model, self.entries = model, entries
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
