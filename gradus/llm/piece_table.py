@@ -24,6 +24,14 @@ def known_form(text: str | None) -> str:
     return low if unicodedata.is_normalized("NFC", low) else text
 
 
+def is_word(letters: str) -> bool:
+    """Whether the normaliser leaves nothing but letters, so that ``letters`` (for which
+    isalpha() holds) are one word of the pre-tokenizer: some letters fall apart into a letter
+    and a mark in NFC, and the lower case of one does.
+    """
+    return "İ" not in letters and (unicodedata.is_normalized("NFC", letters) or unicodedata.normalize("NFC", letters).isalpha())
+
+
 class PieceTable:
     """Looks up the pieces between blanks and line feeds of many texts at once.
 
@@ -50,9 +58,8 @@ class PieceTable:
             value = old.get(p)
             if value is not None:
                 young[p] = value
-            elif p[-1:] in stops and p[:-1].isalpha():
+            elif p[-1:] in stops and (word := p[:-1]).isalpha() and (word.isascii() or is_word(word)):
                 stopped.append(p)
-                word = p[:-1]
                 if word not in young:
                     value = old.get(word)
                     if value is None:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gradus.llm.bpe import default_path
 from gradus.llm.common import documents, pieces, scratch_path, snapshot
-from gradus.llm.piece_table import ENTRIES, PieceTable
+from gradus.llm.piece_table import ENTRIES, PieceTable, is_word
 
 MAGIC = b"GRADTOK1"
 TRAILER = "<8sIQ"
@@ -86,7 +86,7 @@ class LibraryEncoder:
         known: dict[str, bytes] = {}
         words, odd, rest = [], [], []
         for p in new:
-            (words if p.isalpha() else rest if "<" in p or "|" in p else odd).append(p)
+            (words if p.isalpha() and (p.isascii() or is_word(p)) else rest if "<" in p or "|" in p else odd).append(p)
         if words:  # letters only: each ends with the first token that has the word-end mark
             ids = np.asarray(self.tool.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
             cuts = np.flatnonzero(self.ends[ids]) + 1

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from gradus.llm.bpe import default_path
+from gradus.llm.bpe import default_path, encoder
 from gradus.llm.token_store import LibraryEncoder, PerfectHash, _mix, op4_token_store, read_store, write_store
 
 
@@ -25,6 +25,15 @@ def test_pieces_equal_whole_texts():
         assert got == [tool.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_that_fall_apart_into_letter_and_mark():
+    tool = Tokenizer.from_file(default_path())
+    texts = ["\u0130stanbul abc", "\u0958 abc", "x\u0958. abc", "\u0130, \u0958\u09dc.", "\ufb1d \u0130\u0130 abc\u0958, d."]
+    want = [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    mine = LibraryEncoder(default_path())
+    assert [np.frombuffer(x, mine.type).tolist() for x in mine.encode(texts)] == want
+    assert [encoder(default_path()).encode(t) for t in texts] == want  # op6 cuts off stops in the same way
+
+
 def test_query(spark, sf_dir):
     tool = Tokenizer.from_file(default_path())
     docs = sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").collect(), key=lambda d: d.doc_id)
