@@ -121,6 +121,12 @@ def composite_order(spark, sf_dir):
     return top.select("doc_id", F.row_number().over(Window.orderBy("lang", "n_chars", "doc_id")).alias("place"))
 
 
+@R.add("composite_places", "SELECT doc_id, row_number() OVER (ORDER BY lang, n_chars, doc_id) AS place FROM documents")
+def composite_places(spark, sf_dir):
+    d = tables(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id")
+    return sampling.places(d, "lang", "n_chars", "doc_id").select("doc_id", "place")
+
+
 @R.add("display_samples", "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4000 ORDER BY doc_id LIMIT 5")
 def display_samples(spark, sf_dir):
     return tables(spark, sf_dir, "documents").where("n_chars <= 4000").select("doc_id", "n_chars").orderBy("doc_id").limit(5)
@@ -141,6 +147,15 @@ def log_rollback(spark, sf_dir):
     return roll_back(tables(spark, sf_dir, "events"), "event_id", 500).select("event_id")
 
 
+@R.add("checkpoint_rollback", "SELECT event_id FROM events WHERE event_id < (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
+def checkpoint_rollback(spark, sf_dir):
+    from gradus.streaming.resume import roll_back
+
+    e = tables(spark, sf_dir, "events")
+    checkpoint = e.where("event_type = 'signup'").agg(F.max("event_id")).first()[0]
+    return roll_back(e, "event_id", checkpoint).select("event_id")
+
+
 @R.add("log_repair", "SELECT event_type, count(*) AS kept FROM events WHERE NOT (event_type = 'error' AND value > 50) GROUP BY 1")
 def log_repair(spark, sf_dir):
     from gradus.streaming.resume import repair
