@@ -264,6 +264,14 @@ def question_composition(spark, sf_dir):
     return c.select("conv_id", F.substring(composed, 2, 1 << 30).alias("choices"))
 
 
+@R.add("conversation_choices", "SELECT conv_id, string_agg('(' || chr((65 + turn)::INT) || ') ' || role, chr(10) ORDER BY turn) AS choices FROM conversations GROUP BY 1")
+def conversation_choices(spark, sf_dir):
+    c = tables(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("ts"))
+    labels = F.transform("ts", lambda x: F.chr(F.lit(65) + x["turn"]))
+    composed = text.compose_choices(F.lit(""), labels, F.col("ts.role"))
+    return c.select("conv_id", F.substring(composed, 2, 1 << 30).alias("choices"))
+
+
 @R.add("math_grades")
 def math_grades(spark, sf_dir):
     """Symbolic grading of boxed answers; checked by tests, SQL has no such parser."""

@@ -14,3 +14,9 @@ def test_rollback_goes_to_the_last_checkpoint_of_the_log(spark, sf_dir):
     last = max(r.event_id for r in rows if r.event_type == "signup")
     got = [r.event_id for r in catalog.QUERIES["checkpoint_rollback"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(r.event_id for r in rows if r.event_id < last) and len(got) > 500
+
+
+def test_every_turn_is_a_choice(spark, sf_dir):
+    turns = {(r.conv_id, f"({chr(65 + r.turn)}) {r.role}") for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    got = {(r.conv_id, x) for r in catalog.QUERIES["conversation_choices"](spark, sf_dir).collect() for x in r.choices.split("\n")}
+    assert got == turns and any(x.startswith("(H)") for _, x in got)
