@@ -18,7 +18,7 @@ the groups of a source.
 
 Defined results: tokens are words between white space; a null or empty text has none, so
 it belongs to every block that its position is in; a null source is a source of its own;
-sources without tokens get weight zero and no rows; rows that repeat take part each. With
+sources without tokens get weight zero and no rows, or one pass if asked for; rows that repeat take part each. With
 one source, or shares that are all equal, the exponent does not matter and the upper end
 of the interval is taken. Empty tables give empty results.
 """
@@ -133,7 +133,10 @@ def source_budgets(shares: DataFrame, target: Target) -> DataFrame:
     else:
         whole = float(target.budget)
     # a millionth of a token absorbs what doubles lose
-    return weighed.withColumn("budget", F.floor(F.col("weight") * F.lit(whole) + 1e-6).cast("long"))
+    budget = F.floor(F.col("weight") * F.lit(whole) + 1e-6).cast("long")
+    if target.budget is None:  # every source is read in full; doubles lose whole tokens of large ones
+        budget = F.greatest(budget, F.col("tokens"))
+    return weighed.withColumn("budget", budget)
 
 
 def _position(block: Column, seed: str) -> Column:
@@ -142,13 +145,15 @@ def _position(block: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, POSITION_BITS // 4), 16, 10).cast("long")
 
 
-def draw(docs: DataFrame, target: Target, source: str = "source", id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
+def draw(
+    docs: DataFrame, target: Target, source: str = "source", id_col: str = "doc_id", seed: str = SEED, keep_empty: bool = False
+) -> DataFrame:
     """The rows of the mix: ``docs`` (all its columns) with ``__block``, ``__place``, ``__tokens``.
 
     A row stands in every block that takes it: blocks 0, 1, ... hold all documents of the
     source, the last one those whose place in the permutation lies before the cut. Rows of
     a source sorted by block and place are its reading order; equal rows share a place and
-    are taken together.
+    are taken together. With ``keep_empty`` sources without tokens are read once, as block 0.
     """
     counted = docs.withColumns(
         {
@@ -165,12 +170,18 @@ def draw(docs: DataFrame, target: Target, source: str = "source", id_col: str =
         light.groupBy(F.col("__source").alias("source")).agg(F.count("*").alias("docs"), F.sum("__tokens").alias("tokens")),
         "shares",
     )
+    bin_count = F.greatest(F.lit(1), F.ceil(F.col("docs") / BIN_ROWS)).cast("long").alias("__bins")
     plan = snapshot(source_budgets(shares, target), "mix-plan").select(
         F.col("source").alias("__s"),
         F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("__full"),
         (F.col("budget") % F.col("tokens")).alias("__rest"),
-        F.greatest(F.lit(1), F.ceil(F.col("docs") / BIN_ROWS)).cast("long").alias("__bins"),
+        bin_count,
     )
+    if keep_empty:
+        none = shares.where("tokens = 0").select(
+            F.col("source").alias("__s"), F.lit(1).alias("__full"), F.lit(0).cast("long").alias("__rest"), bin_count
+        )
+        plan = plan.unionByName(none)
     # The plan has a row for each source; a source that is hot on the other side of this
     # join is split at run time where the plan is too large to be broadcast by its size.
     of_source = F.col("__source").eqNullSafe(F.col("__s"))

@@ -3,6 +3,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from gradus.llm.bpe import default_path
 from gradus.llm.common import documents
+from gradus.llm.mixing import Target, source_budgets
 
 
 def test_ids_decode_back(spark, sf_dir):
@@ -10,3 +11,17 @@ def test_ids_decode_back(spark, sf_dir):
     docs = documents(spark, sf_dir).limit(60)
     got = corpus_pipeline.encode_ids(spark, docs, sf_dir).collect()
     assert len(got) == 60 and all(r.decoded == tool.decode(list(r.ids), skip_special_tokens=False) for r in got)
+
+
+def test_mix_drops_no_document(spark, sf_dir):
+    rows = [(1, "a b", "en", "x", 3), (2, "", "en", "none", 0), (3, None, "en", "none", 0), (3, None, "en", "none", 0), (4, "", "en", None, 0)]
+    docs = spark.createDataFrame(rows, documents(spark, sf_dir).schema.simpleString()[7:-1].replace(":", " "))
+    for part, want in ((docs, [1, 2, 3, 3, 4]), (docs.where("doc_id > 1"), [2, 3, 3, 4])):
+        assert sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, part, sf_dir).collect()) == want
+
+
+def test_budgets_cover_sources_whose_doubles_are_coarse(spark):
+    rows = [(str(i), 1, 56444782390 if i == 0 else 5) for i in range(49)]
+    shares = spark.createDataFrame(rows, "source string, docs bigint, tokens bigint")
+    plan = source_budgets(shares, Target(passes=1e12)).collect()
+    assert len(plan) == 49 and all(r.budget >= r.tokens for r in plan)
