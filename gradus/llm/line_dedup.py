@@ -27,6 +27,8 @@ from gradus.llm.common import documents
 RATIO = 0.05
 #: ... if it stands on this many pages at least.
 MIN_PAGES = 20
+#: The lower thresholds of ``op7_line_dedup_low``.
+LOW_RATIO, LOW_MIN_PAGES = 0.01, 3
 #: Boilerplate lines are broadcast up to this many (about 40 bytes each); beyond it the
 #: pages meet them in a join on (host, salt).
 BROADCAST_LINES = 50_000
@@ -137,3 +139,15 @@ SELECT doc_id, source,
        CASE WHEN none THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
 FROM cut
 """
+
+
+def op7_line_dedup_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with thresholds that lines on one in a hundred pages of a host exceed."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    cleaned = drop_boilerplate(docs, ratio=LOW_RATIO, min_pages=LOW_MIN_PAGES)
+    return cleaned.select("doc_id", "source", "lines_total", "lines_dropped", "text")
+
+
+OP7_LOW_SQL = OP7_SQL.replace(
+    f"count(*) >= {MIN_PAGES} AND count(*) > {RATIO} *", f"count(*) >= {LOW_MIN_PAGES} AND count(*) > {LOW_RATIO} *"
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
-from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
+from gradus.llm.line_dedup import OP7_LOW_SQL, OP7_SQL, op7_line_dedup, op7_line_dedup_low
 from gradus.llm.media_jpeg import op1_media_jpeg
 from gradus.llm.mixing import OP2_SQL, op2_mixing
 from gradus.llm.pii import op9_pii
@@ -21,6 +21,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op7_line_dedup_low": op7_line_dedup_low,
     "op8_toxicity_crf": op8_toxicity_crf,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
@@ -30,4 +31,5 @@ QUERY_SQL = {
     "op2_mixing": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op7_line_dedup_low": OP7_LOW_SQL,
 }

@@ -1,0 +1,30 @@
+from collections import Counter
+
+import duckdb
+
+from gradus.llm.line_dedup import LOW_MIN_PAGES, LOW_RATIO, OP7_LOW_SQL, OP7_SQL
+from gradus.llm.registry import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_lines_go_and_own_lines_stay(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    pages = Counter(r.source for r in rows)
+    lines = {r.doc_id: {x.strip(" ") for x in (r.text or "").split("\n")} - {""} for r in rows}
+    on = Counter((r.source, x) for r in rows for x in lines[r.doc_id])
+    bad = {k for k, n in on.items() if n >= LOW_MIN_PAGES and n > LOW_RATIO * pages[k[0]]}
+    assert sum(on[k] for k in bad) == 240
+    got = {r.doc_id: r for r in QUERIES["op7_line_dedup_low"](spark, SF).collect()}
+    for r in rows:
+        kept = [x for x in (r.text or "").split("\n") if not x.strip(" ") or (r.source, x.strip(" ")) not in bad]
+        assert (got[r.doc_id].text or "") == "\n".join(kept)
+    assert sum(r.lines_dropped for r in got.values()) >= 240
+
+
+def test_twin(spark):
+    assert OP7_LOW_SQL != OP7_SQL
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = sorted(con.sql(f"select doc_id, source, lines_total, lines_dropped, text from ({OP7_LOW_SQL})").fetchall(), key=repr)
+    assert sorted((tuple(r) for r in QUERIES["op7_line_dedup_low"](spark, SF).collect()), key=repr) == want
