@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import getpass
 import tempfile
 import uuid
@@ -33,8 +34,9 @@ def ascii_lower(col: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of this machine takes its place.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    session is local (tests) a folder of this machine takes its place. On a cluster
+    without that setting an error is raised, as executors could not see the folder.
     """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir")
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         where = f"file://{tempfile.gettempdir()}/gradus-{getpass.getuser()}"
         context.setCheckpointDir(where)
     return where.rstrip("/")
@@ -78,8 +82,23 @@ def drop_snapshot(df: DataFrame) -> None:
         _delete(spark.sparkContext, path)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
+    """Cuts batches so that ``column`` holds about ``limit`` bytes in each (one row at least).
+
+    Freed memory is given back at the start, as the worker may have run another stage, and
+    after every ``limit`` * 16 bytes.
+    """
+    release()
+    passed = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -88,28 +107,39 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         for i, size in enumerate(sizes):
             if held and held + size > limit:
                 yield batch.slice(start, i - start)
+                passed += held
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+        passed += held
+        if passed > 16 * limit:
+            release()
+            passed = 0
 
 
 def sample_labelled(spark: SparkSession, sf_dir: str, label: str, rows: int, max_bytes: int) -> list:
     """Texts and labels to learn from: at most ``rows`` labelled documents of at most
     ``max_bytes`` bytes, chosen by a hash of doc_id among those whose
     crc32(doc_id as text) mod 5 is not 0. Nothing but text and label is returned.
+
+    A doc_id that has several labels counts with the largest; one that has several texts
+    counts with one of them (the least by hash, then by text), so at most ``rows`` texts
+    come to the driver however often an id is repeated.
     """
     key = F.col("doc_id").cast("string")
     chosen = (
         table(spark, sf_dir, "labels")
         .where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(key) % 5 != 0))
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max(F.col(label).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
     texts = documents(spark, sf_dir).select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()  # chosen has ``rows`` rows at most
-    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    found = texts.join(F.broadcast(chosen), "doc_id")  # chosen has ``rows`` rows at most
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")  # combined before the shuffle
+    got = found.groupBy("doc_id", "label").agg(one).select("doc_id", "one.text", "label").collect()
+    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
 def held_out() -> Column:
