@@ -12,11 +12,17 @@ and a key that was never stored is told apart by its fingerprint (up to 2**-32).
 
 Writing is one range shuffle by key and one narrow pass; a repeated or lost task writes
 the same file again under a name of its own and renames it. All files live in the shared
-folder. They are reached through pyarrow's file systems (file, hdfs, s3, gs).
+folder. They are reached through pyarrow's file systems (file, hdfs, s3, gs). The number of
+shards follows the bytes of the texts, without a limit. Ranges are cut by (key, hash of the
+text), so that a key which many rows repeat, or rows without a key, spread over shards.
 
-Defined results: a null text counts as empty (only the end id is stored). Rows that
-repeat a key are all stored, told apart by ``copy`` 0, 1, ... in order of their text;
-null keys come first. Empty tables give no shards.
+Reading seeks to the place that the index gives and takes the bytes of the document; a shard
+that is shorter than its trailer tells, or has no trailer, is an error.
+
+Defined results: a null text counts as empty (only the end id is stored); very long texts are
+encoded whole. Rows that repeat a key are all stored, told apart by ``copy`` 0, 1, ... in order
+of the hash of their text, then their text; null keys come first. Empty tables give no shards.
+Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.bpe import default_path
-from gradus.llm.common import documents, pieces, scratch_path, snapshot
+from gradus.llm.common import documents, pieces, release, scratch_path, snapshot
 from gradus.llm.piece_table import ENTRIES, PieceTable, is_word
 
 MAGIC = b"GRADTOK1"
@@ -44,8 +50,11 @@ END_ID = 2
 INDEX_KEYS = 1 << 15
 #: Bits per key on each level of the minimal perfect hash.
 LOAD = 2.0
-#: Bytes of input that one shard takes, in the mean.
+#: Bytes of text that one shard takes, in the mean, and rows by which the texts' size is estimated.
 SHARD_BYTES = 32 << 20
+SIZE_ROWS = 2000
+#: Ids that are read at once where documents follow each other.
+READ_IDS = 1 << 18
 
 #: Words that go to the library in one call; what it returns takes about 2 kB a word.
 ASKED = 8192
@@ -245,7 +254,12 @@ class TokenStore:
         h = key_hash(np.asarray([doc_id or 0]), np.asarray([doc_id is None]), np.asarray([copy]))
         if not self.buckets:
             return None
-        shard, start, count = _index_file(self.root, int(h[0] % np.uint64(self.buckets))).find(h)
+        # A bucket without keys has no file; that every document is in the index is checked in writing.
+        bucket = int(h[0] % np.uint64(self.buckets))
+        system, path = _system(self.root)
+        if not system.get_file_info(f"{path}/index-{bucket:05d}.npz").is_file:
+            return None
+        shard, start, count = _index_file(self.root, bucket).find(h)
         return None if shard[0] < 0 else (int(shard[0]), int(start[0]), int(count[0]))
 
     def __getitem__(self, doc_id: int | None) -> np.ndarray:
@@ -253,10 +267,45 @@ class TokenStore:
         if found is None:
             raise KeyError(doc_id)
         shard, start, count = found
-        system, path = _system(self.root)
-        with system.open_input_file(f"{path}/shard-{shard:05d}.ids") as f:
-            f.seek(len(MAGIC) + start * self.type.itemsize)
-            return np.frombuffer(f.read(count * self.type.itemsize), self.type)
+        with ShardFile(self.root, shard, self.type.itemsize) as f:
+            return np.frombuffer(f.read(start, count), self.type)
+
+
+class ShardFile:
+    """A finished shard, read by place. Its size, magic and trailer are checked when it is opened."""
+
+    def __init__(self, root: str, shard: int, width: int):
+        system, path = _system(root)
+        self.shard, self.width = shard, width
+        name = f"{path}/shard-{shard:05d}.ids"
+        size = system.get_file_info(name).size
+        self.file = system.open_input_file(name)
+        end = struct.calcsize(TRAILER)
+        if size < len(MAGIC) + end or self.file.read(len(MAGIC)) != MAGIC:
+            raise ValueError(f"shard {shard} is not a token shard")
+        self.file.seek(size - end)
+        magic, stored, self.ids = struct.unpack(TRAILER, self.file.read(end))
+        if magic != MAGIC or stored != width or size != len(MAGIC) + self.ids * width + end:
+            raise ValueError(f"shard {shard} is cut off or has other ids than its trailer tells")
+
+    def read(self, start: int, count: int) -> bytes:
+        """The bytes of ``count`` ids from ``start``."""
+        if start < 0 or start + count > self.ids:
+            raise ValueError(f"shard {self.shard} ends before id {start + count}")
+        self.file.seek(len(MAGIC) + start * self.width)
+        data = self.file.read(count * self.width)
+        if len(data) != count * self.width:
+            raise ValueError(f"shard {self.shard} gave {len(data)} of {count * self.width} bytes")
+        return data
+
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> ShardFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 # -- writing and reading with Spark
@@ -291,6 +340,7 @@ def _write_shards(root: str, path: str, end_id: int):
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(("doc_id", "none", "copy", "shard", "start", "count"), r, strict=True)) for r in rows], schema=_SCHEMA
             )
+        release()
         if out is not None:
             out.write(struct.pack(TRAILER, MAGIC, coder.type.itemsize, at))
             out.close()
@@ -356,22 +406,25 @@ def _read_back(root: str, width: int, base: np.ndarray):
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _system(root)
-        file, opened = None, -1
+        file = None
         for batch in batches:
             shards, starts, counts = (batch.column(c).to_numpy() for c in ("shard", "start", "count"))
-            crcs = []
-            for shard, start, count in zip(shards.tolist(), starts.tolist(), counts.tolist(), strict=True):
-                if shard != opened:
-                    file, opened = system.open_input_stream(f"{path}/shard-{shard:05d}.ids", buffer_size=1 << 20), shard
-                    if file.read(len(MAGIC)) != MAGIC:
-                        raise ValueError(f"shard {shard} is not a token shard")
-                    at = 0
-                while at < start:  # ids of documents that other tasks read
-                    at += len(file.read(min(1 << 20, (start - at) * width))) // width
-                data = file.read(count * width)
-                at += count
-                crcs.append(zlib.crc32(np.frombuffer(data, kind).astype("<u4").tobytes()))
+            crcs, held, first = [], b"", 0
+            for i, (shard, start, count) in enumerate(zip(shards.tolist(), starts.tolist(), counts.tolist(), strict=True)):
+                if file is None or file.shard != shard:
+                    if file is not None:
+                        file.close()
+                    file, held = ShardFile(root, shard, width), b""
+                at = (start - first) * width
+                if not held or at < 0 or at + count * width > len(held):
+                    # Documents that follow in the payload come with one read, of about READ_IDS ids.
+                    more = count
+                    for k in range(i + 1, len(shards)):
+                        if shards[k] != shard or starts[k] != start + more or more + counts[k] > READ_IDS:
+                            break
+                        more += int(counts[k])
+                    held, first, at = file.read(start, more), start, 0
+                crcs.append(zlib.crc32(np.frombuffer(held, kind, count, at).astype("<u4").tobytes()))
             none = batch.column("none").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -380,10 +433,36 @@ def _read_back(root: str, width: int, base: np.ndarray):
                 ],
                 names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"],
             )
+        if file is not None:
+            file.close()
 
     return run
 
 
+def _text_bytes(docs: DataFrame) -> int:
+    """About how many bytes the texts have: rows times the mean of the first ``SIZE_ROWS``. Only
+    the number of shards depends on it."""
+    seen = [r[0] for r in docs.select(F.coalesce(F.octet_length("text"), F.lit(0))).take(SIZE_ROWS)]
+    return docs.count() * sum(seen) // len(seen) if seen else 0
+
+
+def _copies_over_shards(written: DataFrame, totals: list) -> DataFrame:
+    """``written`` with copies of a key that goes on from one shard to the next numbered on."""
+    moved, run, before = [], 0, None
+    for r in sorted(totals, key=lambda r: r["shard"]):
+        first, last, size = tuple(r["first"]), tuple(r["last"])[:2], r["last"]["copy"] + 1
+        if before == first:
+            moved.append((r["shard"], not first[0], first[1], run))
+        run = run + size if before == first == last else size
+        before = last
+    if not moved:
+        return written
+    shift = written.sparkSession.createDataFrame(moved, "__shard int, __none boolean, __doc_id bigint, __shift bigint")
+    on = (F.col("shard") == F.col("__shard")) & (F.col("none") == F.col("__none")) & (F.col("doc_id") == F.col("__doc_id"))
+    shifted = written.join(F.broadcast(shift), on, "left")  # a row for each shard file at most
+    return shifted.withColumn("copy", F.col("copy") + F.coalesce("__shift", F.lit(0))).select(*written.columns)
+
+
 def write_store(
     docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, index_keys: int = INDEX_KEYS
 ) -> tuple[TokenStore, DataFrame, np.ndarray]:
@@ -396,16 +475,23 @@ def write_store(
     path = path or default_path()
     root = scratch_path(spark, "tokens")
     width = library_encoder(path).type.itemsize
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
-    key = F.col("doc_id").cast("bigint")
+    shards = max(spark.sparkContext.defaultParallelism, -(-_text_bytes(docs) // shard_bytes))
+    order = [F.col("doc_id").asc_nulls_first(), "hash"]
     ordered = (
-        docs.select(key.alias("doc_id"), "text")
-        .repartitionByRange(min(shards, 100_000), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+        .repartitionByRange(shards, *order)
+        .sortWithinPartitions(*order, "text")
+        .select("doc_id", "text")
     )
     written = snapshot(ordered.mapInArrow(_write_shards(root, path, end_id), _ROW), "written")
-    totals = written.groupBy("shard").agg(F.sum("count").alias("ids"), F.count("*").alias("rows")).collect()  # a row for each file
+    stored = (~F.col("none")).alias("stored")
+    totals = written.groupBy("shard").agg(
+        F.sum("count").alias("ids"),
+        F.count("*").alias("rows"),
+        F.min(F.struct(stored, "doc_id")).alias("first"),
+        F.max(F.struct(stored, "doc_id", "copy")).alias("last"),
+    ).collect()  # a row for each file
+    written = _copies_over_shards(written, totals)
     base = np.zeros(max([-1, *(r["shard"] for r in totals)]) + 2, np.int64)
     for r in totals:
         base[r["shard"] + 1] = r["ids"]

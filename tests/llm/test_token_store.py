@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradus.llm.bpe import default_path, encoder
@@ -51,10 +52,38 @@ def test_nulls_repeats_and_lookups(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
     store, written, base = write_store(docs, shard_bytes=20, index_keys=2)
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in read_store(store, written, base).collect())
-    assert [g[1:] for g in got] == [(None, 1), (None, 2), (-5, 3), (3, 1), (7, 2), (7, 2), (7, 3)]
-    assert [g[0] for g in got] == [0, 1, 3, 6, 7, 9, 11]
-    assert len(store[-5]) == 3 and store[3].tolist() == [2] and len(store[7]) == 2
-    assert store.find(7, 2)[2] == 3 and store.find(8) is None and store.find(None, 1)[2] == 2
+    # copies of a key lie in order of a hash of their text
+    assert [g[1] for g in got] == [None, None, -5, 3, 7, 7, 7]
+    assert sorted(g[2] for g in got[:2]) == [1, 2] and sorted(g[2] for g in got[4:]) == [2, 2, 3] and [g[2] for g in got[2:4]] == [3, 1]
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(7)]
+    assert len(store[-5]) == 3 and store[3].tolist() == [2]
+    assert sorted(store.find(7, i)[2] for i in range(3)) == [2, 2, 3] and store.find(7, 3) is None
+    assert store.find(8) is None and sorted(store.find(None, i)[2] for i in range(2)) == [1, 2]
     with pytest.raises(KeyError):
         store[8]
     assert read_store(*write_store(docs.limit(0))).collect() == []
+
+
+def test_a_key_of_many_rows_spreads_over_shards(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 5).cast("bigint").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    store, written, base = write_store(docs, shard_bytes=2000)
+    sizes = [r["count"] for r in written.groupBy("shard").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 1600
+    places = {(r.doc_id, r.none, r.copy) for r in written.collect()}
+    assert len(places) == 4000 and max(c for _, n, c in places if n) == 1333
+    assert read_store(store, written, base).agg(F.sum("n_tokens")).first()[0] == sum(r["count"] for r in written.collect())
+
+
+@pytest.mark.parametrize("cut", ["tail", "trailer", "head"])
+def test_a_shard_that_is_cut_off_is_an_error(spark, cut):
+    docs = spark.createDataFrame([(i, "some words here") for i in range(50)], "doc_id bigint, text string")
+    store, written, base = write_store(docs)
+    name = f"{store.root.removeprefix('file://')}/shard-{store.find(7)[0]:05d}.ids"
+    with open(name, "rb") as f:
+        data = f.read()
+    with open(name, "wb") as f:
+        f.write({"tail": data[: len(data) // 2], "trailer": data[:-20], "head": data[8:]}[cut])
+    with pytest.raises(ValueError, match="shard"):
+        store[7]
+    with pytest.raises(Exception, match="shard"):
+        read_store(store, written, base).collect()
