@@ -22,7 +22,9 @@ Scale:
 Defined results: a null text counts as empty; texts without words have fingerprint zero
 and are linked like any other; texts under ``width`` words have one shingle; repeated
 rows and ties link by equality; null doc_ids are reported but never become a class id
-unless a class has nothing else.
+unless a class has nothing else; very long texts are read whole; empty tables give empty
+results. ``near_classes`` reads the id and ``text`` only, whatever else is named how;
+``drop_near_duplicates`` keeps all columns, of which none may begin with ``__``.
 """
 
 from __future__ import annotations
@@ -66,29 +68,36 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprints(texts: list[str | None], width: int = WIDTH, seed: int = SEED) -> np.ndarray:
-    """One unsigned fingerprint for each text."""
+def shingle_hashes(texts: list[str | None], width: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(hashes, starts, rows): the shingles' hashes of all texts that have words, one text after
+    another, where each begins, and which text it is."""
     from xxhash import xxh64_intdigest
 
-    hashes: list[int] = []
-    starts, rows = [], []
+    parts: list[np.ndarray] = []
+    starts, rows, at = [], [], 0
     for row, text in enumerate(texts):
         words = text.encode().lower().split() if text else []  # bytes: A-Z only, ASCII white space only
         if not words:
             continue
-        rows.append(row)
-        starts.append(len(hashes))
         joined = b" ".join(words)
-        n = len(words)
-        if n <= width:
-            hashes.append(xxh64_intdigest(joined, seed))
-            continue
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        hashes += [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
+        if len(words) <= width:
+            new = [xxh64_intdigest(joined, seed)]
+        else:
+            ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+            new = [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
+        rows.append(row)
+        starts.append(at)
+        at += len(new)
+        parts.append(np.asarray(new, np.uint64))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.asarray(starts, np.int64), rows
+
+
+def fingerprints(texts: list[str | None], width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """One unsigned fingerprint for each text."""
+    hashes, starts, rows = shingle_hashes(texts, width, seed)
     out = np.zeros(len(texts), np.uint64)
     if rows:
-        starts = np.asarray(starts, np.int64)
-        counts = _bit_counts(np.asarray(hashes, np.uint64), starts)
+        counts = _bit_counts(hashes, starts)
         sizes = np.diff(np.append(starts, len(hashes)))
         bits = (2 * counts > sizes[:, None]).astype(np.uint64)
         out[rows] = (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -307,16 +316,18 @@ def near_classes(
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", classes=None, **parameters) -> DataFrame:
     """One row of each class stays: the one with the smallest id (of rows that repeat it, one).
 
-    Rows without an id are compared too, and stay only if their class has no id.
+    ``classes`` finds them: ``near_classes`` (fingerprints within ``max_bits``) or
+    ``simhash_wide.similar_classes`` (shingles of a similarity). Rows without an id are compared
+    too, and stay only if their class has no id.
     """
     columns = docs.columns
     keyed = docs.withColumn("__row", F.xxhash64(id_col, "text"))
     order = F.struct(F.col(id_col).isNull().alias("__none"), F.col(id_col).alias("__kid"), F.col("__row").alias("__krow"))
-    classes = near_classes(keyed.select(order.alias("__id"), "text"), "__id", **parameters)
-    keep = classes.groupBy("component_id").agg(F.count_if(F.col("__id") == F.col("component_id")).alias("__n"))
+    found = (classes or near_classes)(keyed.select(order.alias("__id"), "text"), "__id", **parameters)
+    keep = found.groupBy("component_id").agg(F.count_if(F.col("__id") == F.col("component_id")).alias("__n"))
     keep = snapshot(keep.select("component_id.__kid", "component_id.__krow", "__n"), "keep")
     same = F.col(id_col).eqNullSafe(F.col("__kid")) & (F.col("__row") == F.col("__krow"))
     stays = keyed.join(keep.select("__kid", "__krow"), same, "left_semi")
