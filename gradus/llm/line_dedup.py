@@ -2,18 +2,23 @@
 
 Rows are pages of a host. For every host the pages that contain a line are counted and
 divided by the pages of the host; lines above ``ratio`` are boilerplate of that host and
-are removed from all its pages.
+are removed from all its pages. Pages of a host with the same text count once in both
+numbers: a page that was copied a hundred times says no more about its host than one, and
+must not lose its own lines for it.
 
-Counts cover all pages. The (page, line) pairs are made distinct inside each row, so the
-count is one map-side combined aggregation over (host, line digest): a hot host spreads
-over its many lines and a hot line is combined before the shuffle. What comes back is a
-short list of lines for the affected pages only.
+Counts cover all pages. Copies are counted out by a digest of the text (combined map-side,
+so a hot page is one row a task), lines are made distinct inside each page, and the rest is
+one map-side combined aggregation over (host, line digest): a hot host spreads over its many
+lines and a hot line is combined before the shuffle. Texts are not shuffled for the counts.
 
 Defined results: a null text stays null and has no lines; lines are split at ``\\n`` and
 compared without surrounding spaces; blank lines are never dropped; a null host is a host
-of its own; a line must stand on ``min_pages`` pages at least, so that small hosts lose
-nothing; a page that consists of boilerplate becomes empty text, it is not removed.
-Repeated rows count as pages of their own. Empty tables give empty results.
+of its own; a line must stand on ``min_pages`` different pages at least, so that hosts of a
+few pages lose nothing by chance; a page that consists of boilerplate becomes empty text, it
+is not removed. Repeated rows are pages with the same text, and all are cleaned. Very long
+texts are read whole; empty tables give empty results. Columns of the input named
+``lines_total`` or ``lines_dropped`` are replaced, columns that begin with ``__`` dropped; all
+others are passed on.
 """
 
 from __future__ import annotations
@@ -24,11 +29,9 @@ from pyspark.sql import functions as F
 from gradus.llm.common import documents
 
 #: A line on more than this share of a host's pages is boilerplate.
-RATIO = 0.05
-#: ... if it stands on this many pages at least.
-MIN_PAGES = 20
-#: The lower thresholds of ``op7_line_dedup_low``.
-LOW_RATIO, LOW_MIN_PAGES = 0.01, 3
+RATIO = 0.01
+#: ... if it stands on this many of them at least.
+MIN_PAGES = 3
 #: Boilerplate lines are broadcast up to this many (about 40 bytes each); beyond it the
 #: pages meet them in a join on (host, salt).
 BROADCAST_LINES = 50_000
@@ -48,13 +51,13 @@ def boilerplate_lines(
     pages: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """(host, line digest, pages with the line, pages of the host) of every boilerplate line."""
-    rows = pages.select(host.alias("__host"), "text")
+    lines = F.filter(F.transform(_lines(F.col("text")), lambda x: F.btrim(x)), lambda x: x != "")
+    keys = F.array_distinct(F.transform(lines, _digest))
+    rows = pages.select(host.alias("__host"), F.unhex(F.md5(F.col("text"))).alias("__page"), keys.alias("__keys"))
+    rows = rows.groupBy("__host", "__page").agg(F.first("__keys").alias("__keys"))  # equal pages have equal keys
     totals = rows.groupBy("__host").agg(F.count("*").alias("host_pages"))
-    keys = F.array_distinct(
-        F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x: F.btrim(x)), lambda x: x != ""), _digest)
-    )
     counts = (
-        rows.select("__host", F.explode(keys).alias("__line"))
+        rows.select("__host", F.explode("__keys").alias("__line"))
         .groupBy("__host", "__line")
         .agg(F.count("*").alias("line_pages"))
         .where(F.col("line_pages") >= min_pages)
@@ -84,7 +87,7 @@ def drop_boilerplate(
     """
     spark = pages.sparkSession
     host = F.col("source") if host is None else host
-    columns = [c for c in pages.columns if c not in ("text", "lines_total", "lines_dropped")]
+    columns = [c for c in pages.columns if c not in ("text", "lines_total", "lines_dropped") and not c.startswith("__")]
     found = boilerplate_lines(pages, host, ratio, min_pages).select("__host", "__line")
     few = found.limit(broadcast_lines + 1).collect()
     small = len(few) <= broadcast_lines
@@ -92,7 +95,7 @@ def drop_boilerplate(
         found = spark.createDataFrame([tuple(r) for r in few], found.schema)
     bad = found.groupBy(F.col("__host").alias("__h")).agg(F.collect_list("__line").alias("__bad"))
     same = F.col("__host").eqNullSafe(F.col("__h"))
-    hosted = pages.withColumn("__host", host)
+    hosted = pages.select(*columns, "text", host.alias("__host"))
     if small:
         joined = hosted.join(F.broadcast(bad), same, "left")  # at most ``broadcast_lines`` digests
     else:
@@ -118,10 +121,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = f"""
-WITH p AS (SELECT source, string_split(text, chr(10)) AS ls FROM documents),
-totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+WITH p AS (SELECT DISTINCT source, text FROM documents),
+totals AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
 keys AS (
-  SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line
+  SELECT source,
+         unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line
   FROM p),
 bad AS (
   SELECT k.source, k.line FROM keys k JOIN totals t ON k.source IS NOT DISTINCT FROM t.source
@@ -139,15 +143,3 @@ SELECT doc_id, source,
        CASE WHEN none THEN NULL ELSE array_to_string(kept, chr(10)) END AS text
 FROM cut
 """
-
-
-def op7_line_dedup_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with thresholds that lines on one in a hundred pages of a host exceed."""
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    cleaned = drop_boilerplate(docs, ratio=LOW_RATIO, min_pages=LOW_MIN_PAGES)
-    return cleaned.select("doc_id", "source", "lines_total", "lines_dropped", "text")
-
-
-OP7_LOW_SQL = OP7_SQL.replace(
-    f"count(*) >= {MIN_PAGES} AND count(*) > {RATIO} *", f"count(*) >= {LOW_MIN_PAGES} AND count(*) > {LOW_RATIO} *"
-)
