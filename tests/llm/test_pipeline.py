@@ -5,14 +5,15 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gradus.llm import toxicity_crf
+from gradus.llm import simhash_wide, toxicity_crf
 from gradus.llm.bpe import default_path
 from gradus.llm.common import documents, snapshot
 from gradus.llm.line_dedup import MIN_PAGES, RATIO
 from gradus.llm.mixing import find_exponent, source_shares
 
 from .test_mixing import plain
-from .test_simhash_dedup import plain_fingerprint, roots
+from .test_simhash_dedup import roots
+from .test_simhash_wide import as_int, has_close_segment
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,22 +46,48 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 def test_lines(stages):
     rows = stages[1].collect()
-    pages = Counter(r.source for r in rows)
-    on = Counter((r.source, x) for r in rows for x in {y.strip(" ") for y in r.text.split("\n")} - {""})
+    texts = {(r.source, r.text) for r in rows}
+    pages = Counter(s for s, _ in texts)
+    on = Counter((s, x) for s, t in texts for x in {y.strip(" ") for y in t.split("\n")} - {""})
     bad = {k for k, n in on.items() if n >= MIN_PAGES and n > RATIO * pages[k[0]]}
     want = {
         r.doc_id: "\n".join(x for x in r.text.split("\n") if not x.strip(" ") or (r.source, x.strip(" ")) not in bad) for r in rows
     }
     got = stages[2].collect()
     assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    assert sum(r.text != want[r.doc_id] for r in rows) > 50, "lines do go"
 
 
 def test_near_copies(stages):
+    """Against all pairs; every exact copy goes, and documents without a similar one stay."""
     rows = stages[2].collect()
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    ids = sorted(prints)
-    named = roots(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(named.values()))
+    ids = [r.doc_id for r in rows]
+    prints = [as_int(p) for p in simhash_wide.wide_fingerprints([r.text for r in rows])]
+    close = [
+        (ids[i], ids[j])
+        for i, a in enumerate(prints)
+        for j in range(i)
+        if (a ^ prints[j]).bit_count() <= simhash_wide.bits_for(0.8) and has_close_segment(a, prints[j])
+    ]
+    got = {r.doc_id for r in stages[3].collect()}
+    assert got == set(roots(sorted(ids), close).values())
+    shingles = {}
+    for r in rows:
+        words = r.text.encode().lower().split()
+        shingles[r.doc_id] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    owners = defaultdict(list)
+    for d in sorted(ids):
+        for x in shingles[d]:
+            owners[x].append(d)
+    similar = set()  # documents with a similar one of a smaller id
+    for d in ids:
+        for e, n in Counter(e for x in shingles[d] for e in owners[x] if e < d).items():
+            if n >= 0.8 * (len(shingles[d]) + len(shingles[e]) - n):
+                similar.add(d)
+    gone = set(ids) - got
+    assert len(gone & similar) >= 0.9 * len(similar), "recall"
+    loose = {d for d in gone if not any(n >= 0.6 * len(shingles[d]) for n in Counter(e for x in shingles[d] for e in owners[x] if e != d).values())}
+    assert not loose, "documents that share little with others stay"
 
 
 def test_mix(stages):
