@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradus.functions.text import cleaned_lines, integral, last, lines, strip
+from gradus.functions.text import cleaned_lines, integral, last, let, lines, strip
 
 # Labels, verbs and number forms that the graders accept.
 LABEL_SHORT = r"(?:R[ÉE]PONSE|RESPONSE)"
@@ -161,12 +161,53 @@ class Analysis:
         }
 
 
-def _declared(all_lines: Column, tail: str) -> tuple[Column, Column]:
-    """(integral values of lines that are labels, in order; whether some label is not integral)."""
+def _read(all_lines: Column, domain: Column, tail: str, verbs: str, sums: str) -> Column:
+    """Struct of what the lines say, each part evaluated once: ``end`` (last line), ``empty``,
+    ``declared`` (integral values of lines that are labels, in order), ``odd`` (some label is
+    not integral) and ``conclusion`` (the last line's number, if it is integral)."""
     pattern = rf"{_I}^{LABEL_WITH_TYPOS}\s*:\s*{X_IS}{NUMBER}{tail}\z"
-    raw = F.transform(F.filter(all_lines, lambda x: x.rlike(pattern)), lambda x: F.regexp_extract(x, pattern, 1))
-    values = F.transform(raw, integral)
-    return F.filter(values, lambda v: v.isNotNull()), F.exists(values, lambda v: v.isNull())
+
+    def parts(ls: Column) -> Column:
+        raw = F.filter(F.transform(ls, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
+        return F.struct(
+            F.coalesce(last(ls), F.lit("")).alias("end"), (F.size(ls) == 0).alias("empty"), F.transform(raw, integral).alias("values")
+        )
+
+    def numbers(p: Column) -> Column:
+        return F.struct(
+            p["end"].alias("end"),
+            p["empty"].alias("empty"),
+            F.filter(p["values"], lambda v: v.isNotNull()).alias("declared"),
+            F.exists(p["values"], lambda v: v.isNull()).alias("odd"),
+            let(_conclusion(p["end"], domain, verbs, tail, sums)[0], integral).alias("conclusion"),
+        )
+
+    return let(let(all_lines, parts), numbers)
+
+
+def _in_conflict(read: Column) -> Column:
+    """Whether labels differ among themselves or from the conclusion."""
+    return (F.size(F.array_distinct(read["declared"])) > 1) | (
+        read["conclusion"].isNotNull() & F.exists(read["declared"], lambda v: v != read["conclusion"])
+    )
+
+
+def _analysis(read: Column, status, expected: Column, prediction, format_ok) -> Analysis:
+    """An analysis of one struct, which is evaluated once."""
+
+    def judged(r: Column) -> Column:
+        found = F.coalesce(r["conclusion"], last(r["declared"]))
+        return F.struct(r.alias("r"), found.alias("found"), status(r, found).alias("status"))
+
+    def named(j: Column) -> Column:
+        r = j["r"]
+        return F.struct(
+            j["status"].alias("status"), prediction(j).alias("prediction"), r["declared"].alias("declared"), r["conclusion"].alias("conclusion"),
+            F.coalesce(r["conclusion"] == expected, F.lit(False)).alias("conclusion_correct"), format_ok(r).alias("format_ok"),
+        )
+
+    out = let(let(read, judged), named)
+    return Analysis(*[out[f] for f in ("status", "prediction", "declared", "conclusion", "conclusion_correct", "format_ok")])
 
 
 def _status(conflict_name: str, conflict: Column, prediction: Column, expected: Column, non_integer: Column | None) -> Column:
@@ -183,43 +224,29 @@ def analyse_final(text: Column, domain: Column, expected: Column) -> Analysis:
     the last line's; if labels differ among themselves or from it the answer is
     ``contradictory``; else a label that is no integer makes it ``non_integer``.
     """
-    ls = cleaned_lines(text)
-    end = F.coalesce(last(ls), F.lit(""))
-    declared, odd = _declared(ls, STOP)
-    raw, _ = _conclusion(end, domain, r"\b(?:est|is|vaut|affiche|donne|qui\s+est)\b", STOP, r"[\d\s()+*/%.,-]")
-    conclusion = integral(raw)
-    empty = F.size(ls) == 0
-    conflict = (F.size(F.array_distinct(declared)) > 1) | (
-        conclusion.isNotNull() & F.exists(declared, lambda v: v != conclusion)
-    )
-    found = F.coalesce(conclusion, last(declared))
-    status = F.when(empty, "missing").otherwise(_status("contradictory", conflict, found, expected, odd))
-    canonical = integral(_first(end, rf"{_I}^REPONSE:\s*{NUMBER}\z"))
-    return Analysis(
+    read = _read(cleaned_lines(text), domain, STOP, r"\b(?:est|is|vaut|affiche|donne|qui\s+est)\b", r"[\d\s()+*/%.,-]")
+
+    def status(r: Column, found: Column) -> Column:
+        return F.when(r["empty"], "missing").otherwise(_status("contradictory", _in_conflict(r), found, expected, r["odd"]))
+
+    return _analysis(
+        read,
         status,
-        F.when(status.isin("correct", "incorrect"), found),
-        declared,
-        conclusion,
-        F.coalesce(conclusion == expected, F.lit(False)),
-        canonical.isNotNull() & ~empty,
+        expected,
+        lambda j: F.when(j["status"].isin("correct", "incorrect"), j["found"]),
+        lambda r: let(_first(r["end"], rf"{_I}^REPONSE:\s*{NUMBER}\z"), integral).isNotNull() & ~r["empty"],
     )
 
 
 def analyse_reconciled(text: Column, domain: Column, expected: Column) -> Analysis:
     """The older policy: anything in doubt is ``ambiguous`` and left to a reviewer."""
-    ls = lines(text)
-    marks = F.transform(ls, lambda x: F.regexp_replace(strip(x), r"^[ *`]+|[ *`]+\z", ""))
-    end = F.coalesce(last(marks), F.lit(""))
-    tail = r"\s*[.!]?"
-    declared, odd = _declared(marks, tail)
-    raw, _ = _conclusion(end, domain, VERBS_MORE, tail, r"[\d\s()+*/%.-]")
-    conclusion = integral(raw)
-    conflict = odd | (F.size(F.array_distinct(declared)) > 1) | (
-        conclusion.isNotNull() & F.exists(declared, lambda v: v != conclusion)
-    )
-    found = F.coalesce(conclusion, last(declared))
-    status = F.when(F.size(ls) == 0, "missing").otherwise(_status("ambiguous", conflict, found, expected, None))
-    return Analysis(status, found, declared, conclusion, F.coalesce(conclusion == expected, F.lit(False)), F.lit(False))
+    marks = F.transform(lines(text), lambda x: F.regexp_replace(strip(x), r"^[ *`]+|[ *`]+\z", ""))
+    read = _read(marks, domain, r"\s*[.!]?", VERBS_MORE, r"[\d\s()+*/%.-]")
+
+    def status(r: Column, found: Column) -> Column:
+        return F.when(r["empty"], "missing").otherwise(_status("ambiguous", r["odd"] | _in_conflict(r), found, expected, None))
+
+    return _analysis(read, status, expected, lambda j: j["found"], lambda r: F.lit(False))
 
 
 def extract_consistent(text: Column) -> tuple[Column, Column]:

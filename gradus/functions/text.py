@@ -35,6 +35,11 @@ def cleaned_lines(x: Column) -> Column:
     return F.filter(F.transform(lines(x), clean_line), lambda y: y != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last(values: Column) -> Column:
     """The last element, null of an empty array."""
     return F.try_element_at(values, F.lit(-1))
@@ -65,9 +70,15 @@ def is_missing(x: Column, values: tuple[str, ...] = MISSING) -> Column:
 
 
 def integral(raw: Column) -> Column:
-    """The number as a long if it is integral, else null (``12.0`` is 12, ``204.5`` is null)."""
-    number = raw.try_cast("decimal(38,10)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """The number as a long if it is integral, else null (``12.0`` is 12, ``204.5`` is null).
+
+    The digits decide, however many there are: ``12.00000000001`` is no integer. Numbers with
+    an exponent are read to 18 decimals; integers beyond a long are null.
+    """
+    whole = F.regexp_extract(raw, r"^\s*([-+]?\d+)(?:\.0*)?\s*\z", 1)
+    plain = F.when(whole != "", whole).try_cast("bigint")
+    number = F.when(raw.rlike("(?i)e"), raw).try_cast("decimal(38,18)")
+    return F.coalesce(plain, F.when(number == F.floor(number), number).try_cast("bigint"))
 
 
 def level_between(label: Column, low: int = 3, high: int = 5) -> Column:

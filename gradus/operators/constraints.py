@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.text import fingerprint
@@ -98,3 +98,23 @@ def require_count(df: DataFrame, condition, expected: int, what: str) -> None:
     n = df.where(condition).count()
     if n != expected:
         raise Violation(f"{what}: {n} rows, expected {expected}")
+
+
+def _passages(x: Column, words: int) -> Column:
+    """Distinct digests of all runs of ``words`` words, in lower case; none of shorter texts."""
+    split = F.filter(F.split(F.lower(x), r"[ \n\t\r]+"), lambda w: w != "")
+    starts = F.when(F.size(split) >= words, F.sequence(F.lit(1), F.size(split) - (words - 1))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(F.array(split), lambda w: F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(w, i, words), " ")))))
+    return F.array_distinct(F.flatten(runs))
+
+
+def passage_leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, words: int = 8) -> DataFrame:
+    """(item, documents): in how many documents a run of ``words`` words of an item stands.
+
+    The side that grows is the documents'. Their runs meet those of the items, of which each
+    is one row; a run that many documents have is spread over their partitions, as only the
+    items' side is sent around, by broadcast while its size allows that.
+    """
+    runs = items.select(item_id, F.explode(_passages(F.col(text), words)).alias("__run"))
+    found = docs.select(doc_id, F.explode(_passages(F.col(text), words)).alias("__run")).join(runs, "__run")
+    return found.groupBy(item_id).agg(F.count_distinct(doc_id).alias("documents"))

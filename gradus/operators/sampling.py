@@ -25,7 +25,11 @@ def shuffled(df: DataFrame, key: str, seed: int | str, group: list[str] | None =
 
 
 def split_by_rank(df: DataFrame, cuts: list[tuple[str, int]], rank: str = "rank", name: str = "partition") -> DataFrame:
-    """Names rank ranges one after another; rows behind the last cut fall out."""
+    """Names rank ranges one after another; rows behind the last cut fall out.
+
+    The bound on the rank stands before the names, so that groups are cut to it before the shuffle.
+    """
+    df = df.where(F.col(rank) <= sum(n for _, n in cuts))
     out, start = F.lit(None).cast("string"), 0
     for label, n in cuts:
         out = F.when(F.col(rank).between(start + 1, start + n), label).otherwise(out)
@@ -50,16 +54,17 @@ def replay_mix(df: DataFrame, key: str, domain: str, current: str, old: tuple[st
     """(id, domain, kind, presentation) of a fixed number of presentations.
 
     All ``n_current`` rows of the current domain once; of ``slots`` further presentations
-    a part of ``ratio`` / 20 goes to the old domains in equal shares, the others repeat
-    rows of the current domain.
+    a part of ``ratio`` / 20 goes to the old domains in equal shares (what is left over goes
+    to the first of them, one each), the others repeat rows of the current domain.
     """
     if ratio not in (0, 10, 20):
         raise ValueError("a ratio is 0, 10 or 20")
     replayed = slots * ratio // 20
     base = sample(df.where(F.col(domain) == current), key, n_current, seed)
     repeats = base.where(F.col("rank") <= slots - replayed)
-    each = replayed // len(old)
-    past = sample(df.where(F.col(domain).isin(*old)), key, each, f"{seed}-old", [domain])
+    each, more = divmod(replayed, len(old))
+    past = sample(df.where(F.col(domain).isin(*old)), key, each + 1, f"{seed}-old", [domain])
+    past = past.where((F.col("rank") <= each) | F.col(domain).isin(*old[:more]))
     parts = [(base, "current"), (repeats, "repeat"), (past, "replay")]
     cols = [F.col(key), F.col(domain), F.col("rank")]
     out = None

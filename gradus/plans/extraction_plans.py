@@ -223,6 +223,47 @@ def number_functions(spark, sf_dir):
     )
 
 
+# Numbers of 1 to 20 decimals, most of them zero; the twin looks at the digits.
+@R.add(
+    "integral_numbers",
+    """WITH n AS (SELECT l_orderkey AS k, l_linenumber AS i, (l_partkey - 100)::VARCHAR AS whole, rpad('', (l_orderkey % 20)::INT, '0') || CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE '1' END AS digits FROM lineitem)
+SELECT k, i, CASE WHEN replace(digits, '0', '') = '' THEN whole::BIGINT END AS value FROM n""",
+)
+def integral_numbers(spark, sf_dir):
+    digits = F.concat(F.rpad(F.lit(""), (F.col("l_orderkey") % 20).cast("int"), F.lit("0")), F.element_at(F.array(*map(F.lit, ("", "0", "1"))), (F.col("l_suppkey") % 3 + 1).cast("int")))
+    raw = F.concat((F.col("l_partkey") - 100).cast("string"), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""))
+    return tables(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), text.integral(raw).alias("value"))
+
+
+@R.add(
+    "boxed_functions",
+    """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role || '{' || turn || '}' END AS contents, CASE WHEN turn % 3 < 2 THEN '\\boxed{' || role || '{' || turn || '}}' END AS whole,
+  CASE WHEN turn % 3 < 2 THEN '\\boxed{' || role || '{' || turn || '}}' ELSE '\\boxed {1}' END AS closing FROM conversations""",
+)
+def boxed_functions(spark, sf_dir):
+    """The last box of responses with one, two and an open last box."""
+    from gradus.functions.grading import boxed_any_udf, boxed_contents_udf, boxed_whole_udf
+
+    turn = F.col("turn").cast("string")
+    good = F.concat(F.lit("x \\boxed{"), F.col("role"), F.lit("{"), turn, F.lit("}} y"))
+    response = F.concat(F.lit("\\boxed {1} then "), F.when(F.col("turn") % 3 < 2, good).otherwise("\\boxed{open {brace}"))
+    c = tables(spark, sf_dir, "conversations").select("conv_id", "turn", response.alias("r"))
+    return c.select("conv_id", "turn", boxed_contents_udf("r").alias("contents"), boxed_whole_udf("r").alias("whole"), boxed_any_udf("r").alias("closing"))
+
+
+@R.add(
+    "hash_mark_answers",
+    """SELECT o_orderkey, (o_custkey % 1000)::VARCHAR AS answer, 'total ' || o_custkey || ' is' AS reasoning,
+  'total ' || o_custkey || ' is' || chr(10) || chr(10) || 'REPONSE: \\boxed{' || (o_custkey % 1000) || '}' AS final FROM orders""",
+)
+def hash_mark_answers(spark, sf_dir):
+    """Answers behind ``####`` and reasoning without calculator marks, brought into the final form."""
+    n, rest = F.col("o_custkey").cast("string"), (F.col("o_custkey") % 1000).cast("string")
+    raw = F.concat(F.lit(" total <<1+"), n, F.lit("=2>>"), n, F.lit(" is\n#### "), rest, F.lit(" \n"))
+    o = tables(spark, sf_dir, "orders").select("o_orderkey", text.answer_after_hashes(raw).alias("answer"), text.reasoning_without_marks(raw).alias("reasoning"))
+    return o.withColumn("final", text.boxed_answer(F.col("reasoning"), F.col("answer")))
+
+
 @R.add(
     "conclusion_categories",
     """SELECT l_orderkey AS k, l_linenumber AS i, CASE l_linenumber % 5 WHEN 0 THEN 'unique_numeric_candidate' WHEN 1 THEN 'ambiguous_multiple_numbers' WHEN 2 THEN 'no_explicit_conclusion' WHEN 3 THEN 'no_numeric_candidate' ELSE 'empty_response' END AS category,
@@ -256,37 +297,32 @@ def truncation_flags(spark, sf_dir):
     return c.select("conv_id", "turn", flag.alias("truncated"))
 
 
-@R.add("question_composition", "SELECT conv_id, string_agg('(' || chr((65 + turn)::INT) || ') ' || role, chr(10) ORDER BY turn) AS choices FROM conversations WHERE turn < 5 GROUP BY 1")
+@R.add("question_composition", "SELECT conv_id, string_agg('(' || chr((65 + turn)::INT) || ') ' || role, chr(10) ORDER BY turn) AS choices FROM conversations GROUP BY 1")
 def question_composition(spark, sf_dir):
-    c = tables(spark, sf_dir, "conversations").where("turn < 5").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("ts"))
-    labels = F.transform("ts", lambda x: F.chr(F.lit(65) + x["turn"]))
-    composed = text.compose_choices(F.lit(""), labels, F.col("ts.role"))
-    return c.select("conv_id", F.substring(composed, 2, 1 << 30).alias("choices"))
-
-
-@R.add("conversation_choices", "SELECT conv_id, string_agg('(' || chr((65 + turn)::INT) || ') ' || role, chr(10) ORDER BY turn) AS choices FROM conversations GROUP BY 1")
-def conversation_choices(spark, sf_dir):
     c = tables(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("ts"))
     labels = F.transform("ts", lambda x: F.chr(F.lit(65) + x["turn"]))
     composed = text.compose_choices(F.lit(""), labels, F.col("ts.role"))
     return c.select("conv_id", F.substring(composed, 2, 1 << 30).alias("choices"))
 
 
-@R.add("math_grades")
+# Answers a/b against expected c/d: equal by cross-multiplication, however they are written.
+@R.add(
+    "math_grades",
+    """WITH q AS (SELECT o_orderkey, o_custkey % 9 + 1 AS a, o_orderkey % 4 + 1 AS b, o_custkey % 6 + 1 AS c, o_orderkey % 3 + 1 AS d FROM orders)
+SELECT o_orderkey, CASE WHEN a * d = b * c THEN 'correct' ELSE 'incorrect' END AS status, a * d = b * c AS correct, '\\boxed{\\frac{' || a || '}{' || b || '}}' AS final_answer, 'boxed' AS extraction FROM q""",
+)
 def math_grades(spark, sf_dir):
-    """Symbolic grading of boxed answers; checked by tests, SQL has no such parser."""
     from gradus.functions.grading import grade_by_box_udf
 
-    o = tables(spark, sf_dir, "orders")
-    half = (F.col("o_custkey") % 9 + 1).cast("string")
-    response = F.concat(F.lit("REPONSE: \\boxed{\\frac{"), half, F.lit("}{2}}"))
-    expected = F.concat((F.col("o_custkey") % 9 + 1).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "/4").otherwise("/2"))
-    return o.select("o_orderkey", grade_by_box_udf(expected, response).alias("g")).select("o_orderkey", "g.*")
+    a, b, c, d = ((F.col(k) % m + 1).cast("string") for k, m in (("o_custkey", 9), ("o_orderkey", 4), ("o_custkey", 6), ("o_orderkey", 3)))
+    response = F.concat(F.lit("REPONSE: \\boxed{\\frac{"), a, F.lit("}{"), b, F.lit("}}"))
+    graded = tables(spark, sf_dir, "orders").select("o_orderkey", grade_by_box_udf(F.concat(c, F.lit("/"), d), response).alias("g"))
+    return graded.select("o_orderkey", "g.status", "g.correct", "g.final_answer", "g.extraction")
 
 
-@R.add("code_status")
+@R.add("code_status", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ready' ELSE 'syntax_error' END AS status FROM conversations")
 def code_status(spark, sf_dir):
-    """Programs by what can be said without running them; checked by tests."""
+    """Programs by what can be said without running them."""
     from gradus.functions.grading import code_status_udf
 
     c = tables(spark, sf_dir, "conversations")

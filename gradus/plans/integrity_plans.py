@@ -24,11 +24,18 @@ def fingerprint_dedup(spark, sf_dir):
     return d.groupBy(text.fingerprint(F.col("text")).alias("question_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@R.add("benchmark_leaks", f"SELECT DISTINCT b.item_id FROM (SELECT item_id, {_FP} AS h FROM benchmark) b JOIN (SELECT {_FP} AS h FROM documents) d USING (h)")
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda w: w <> '')"
+
+
+@R.add(
+    "benchmark_leaks",
+    f"""WITH b AS (SELECT item_id, unnest([list_aggregate(w[i:i + 7], 'string_agg', ' ') FOR i IN range(1, len(w) - 6)]) AS h FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest([list_aggregate(w[i:i + 7], 'string_agg', ' ') FOR i IN range(1, len(w) - 6)]) AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents))
+SELECT item_id, count(DISTINCT doc_id) AS documents FROM b JOIN d USING (h) GROUP BY 1""",
+)
 def benchmark_leaks(spark, sf_dir):
     d, b = tables(spark, sf_dir, "documents", "benchmark")
-    prints = d.select(text.fingerprint(F.col("text")).alias("h"))
-    return b.withColumn("h", text.fingerprint(F.col("text"))).join(prints, "h", "left_semi").select("item_id").distinct()
+    return constraints.passage_leaks(d, b, "doc_id", "item_id", "text", words=8)
 
 
 @R.add("split_leaks", f"SELECT {_FP} AS question_hash, list_sort(list(DISTINCT source)) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")

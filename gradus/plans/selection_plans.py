@@ -51,13 +51,13 @@ def prescreen_sample(spark, sf_dir):
 
 _MIX = f"""c AS (SELECT doc_id, lang, {_rank('42')} AS r FROM documents WHERE lang = 'en'),
 o AS (SELECT doc_id, lang, {_rank('42-old', 'lang')} AS r FROM documents WHERE lang IN ('de', 'fr')),
-m AS (SELECT doc_id, lang, 'current' AS kind FROM c WHERE r <= 48 UNION ALL SELECT doc_id, lang, 'repeat' FROM c WHERE r <= 6 UNION ALL SELECT doc_id, lang, 'replay' FROM o WHERE r <= 3)"""
+m AS (SELECT doc_id, lang, 'current' AS kind FROM c WHERE r <= 48 UNION ALL SELECT doc_id, lang, 'repeat' FROM c WHERE r <= 5 UNION ALL SELECT doc_id, lang, 'replay' FROM o WHERE r <= 2 OR (r = 3 AND lang = 'de'))"""
 
 
 @R.add("replay_mix", f"WITH {_MIX} SELECT doc_id, lang, kind, row_number() OVER (ORDER BY md5('42-order|' || kind || '|' || doc_id), doc_id, kind) AS presentation FROM m")
 def replay_mix(spark, sf_dir):
     d = tables(spark, sf_dir, "documents").select("doc_id", "lang")
-    return sampling.replay_mix(d, "doc_id", "lang", "en", ("de", "fr"), 48, 12, 10, 42)
+    return sampling.replay_mix(d, "doc_id", "lang", "en", ("de", "fr"), 48, 10, 10, 42)
 
 
 @R.add("memory_update", "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS slot FROM documents QUALIFY slot <= 24")
@@ -115,14 +115,8 @@ def most_common(spark, sf_dir):
     return c.orderBy(F.desc("n"), "first_seen").limit(3)
 
 
-@R.add("composite_order", "SELECT doc_id, row_number() OVER (ORDER BY lang, n_chars, doc_id) AS place FROM documents ORDER BY place LIMIT 50")
+@R.add("composite_order", "SELECT doc_id, row_number() OVER (ORDER BY lang, n_chars, doc_id) AS place FROM documents")
 def composite_order(spark, sf_dir):
-    top = tables(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id").orderBy("lang", "n_chars", "doc_id").limit(50)
-    return top.select("doc_id", F.row_number().over(Window.orderBy("lang", "n_chars", "doc_id")).alias("place"))
-
-
-@R.add("composite_places", "SELECT doc_id, row_number() OVER (ORDER BY lang, n_chars, doc_id) AS place FROM documents")
-def composite_places(spark, sf_dir):
     d = tables(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id")
     return sampling.places(d, "lang", "n_chars", "doc_id").select("doc_id", "place")
 
@@ -140,17 +134,10 @@ def log_resume(spark, sf_dir):
     return last_record(log.withColumn("ord", F.col("event_id")), "user_id", "ord").drop("ord")
 
 
-@R.add("log_rollback", "SELECT event_id FROM events WHERE event_id < 500")
+@R.add("log_rollback", "SELECT event_id FROM events WHERE event_id < (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
 def log_rollback(spark, sf_dir):
     from gradus.streaming.resume import roll_back
 
-    return roll_back(tables(spark, sf_dir, "events"), "event_id", 500).select("event_id")
-
-
-@R.add("checkpoint_rollback", "SELECT event_id FROM events WHERE event_id < (SELECT max(event_id) FROM events WHERE event_type = 'signup')")
-def checkpoint_rollback(spark, sf_dir):
-    from gradus.streaming.resume import roll_back
-
     e = tables(spark, sf_dir, "events")
     checkpoint = e.where("event_type = 'signup'").agg(F.max("event_id")).first()[0]
     return roll_back(e, "event_id", checkpoint).select("event_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.operators.constraints import require_unique
 
@@ -26,16 +28,71 @@ def json_lines_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return json_lines(spark, path, schema) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def _csv_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that paths, folders and patterns stand for, in the order of their names."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        system = hadoop.getFileSystem(conf)
+        entries = system.globStatus(hadoop)
+        if not entries:
+            raise FileNotFoundError(path)
+        for entry in entries:
+            inside = system.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+            files = [f.getPath() for f in inside if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+            found += sorted(f.toString() for f in files)
+    return found
+
+
+def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The names in the first record of a file, without a byte order mark."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        record = reader.readLine() or ""
+        while record.count('"') % 2:  # a name may be quoted over several lines
+            more = reader.readLine()
+            if more is None:
+                raise ValueError(f"{path}: the header has an open quote")
+            record += "\n" + more
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([record.removeprefix("\ufeff")], strict=True), []))
+
+
 def csv_table(spark: SparkSession, path: str | list[str], schema: str, header: bool = True) -> DataFrame:
-    """CSV with quoted cells over several lines. All files must have the schema's columns.
+    """CSV with quoted cells over several lines; columns are taken by their names in the header.
 
-    A byte order mark before the first name is dropped by the reader; names are taken
-    from the schema by position, after they were compared with the header.
+    Every file may have its columns in an order of its own, and further columns, which are not
+    read into the result. A file without a column of the schema raises, as does a cell that its
+    type can't hold. The first record of each file is read by the driver; files with the same
+    header are one scan. Without a header, columns are taken by position.
     """
-    return (
-        spark.read.schema(schema).option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("enforceSchema", True).option("mode", "FAILFAST").csv(path)
-    )
+    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+    paths = [path] if isinstance(path, str) else list(path)
+    if not header:
+        return reader.schema(schema).csv(paths)
+    wanted = StructType.fromDDL(schema)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in _csv_files(spark, paths):
+        names = _csv_header(spark, file)
+        lacking = [f.name for f in wanted if f.name not in names]
+        if lacking:
+            raise ValueError(f"{file}: no column {', '.join(lacking)}")
+        if any(names.count(f.name) > 1 for f in wanted):
+            raise ValueError(f"{file}: a column stands there twice")
+        by_header.setdefault(names, []).append(file)
+    out = spark.createDataFrame([], wanted)
+    for names, files in by_header.items():
+        kinds = {f.name: f.dataType for f in wanted}
+        own = StructType([StructField(n if n in kinds else f"__{i}", kinds.get(n, StringType())) for i, n in enumerate(names)])
+        rows = reader.schema(own).option("header", True).option("enforceSchema", True).csv(files)
+        part = rows.select(*wanted.names)
+        out = part if len(by_header) == 1 else out.unionByName(part)
+    return out
 
 
 def json_document(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -77,17 +134,33 @@ def lineage(df: DataFrame, source: str, config: str, split: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
+    """(path, sha256) of files; a file is one value of a row, so it must be under 2 GB."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+#: Tries that questions are generated in, at most.
+MAX_ATTEMPTS = 100_000
+
+
 def synthetic_questions(spark: SparkSession, domain: str, n: int, seed: int) -> DataFrame:
     """(attempt, domain, question, answer): templates filled from hashes of (seed, attempt).
 
-    Attempts are over-generated and repeats of a question dropped, the first attempt
-    stays; asking for more than the templates can give raises.
+    Repeats of a question are dropped, the first attempt stays; if ``MAX_ATTEMPTS`` tries give
+    fewer than ``n`` different questions, an error is raised. Tries are made as needed: four
+    for each question first, and ten times as many while that does not do.
     """
-    attempts = 4 * n + 200
+    attempts = min(4 * n + 200, max(MAX_ATTEMPTS, n))
+    while True:
+        out = _synthetic(spark, domain, n, seed, attempts)
+        if out.count() == n:
+            return out
+        if attempts >= max(MAX_ATTEMPTS, n):
+            raise ValueError(f"fewer than {n} different questions")
+        attempts = min(10 * attempts, max(MAX_ATTEMPTS, n))
+
+
+def _synthetic(spark: SparkSession, domain: str, n: int, seed: int, attempts: int) -> DataFrame:
+    """The first ``n`` different questions of so many attempts, or fewer."""
 
     def pick(name: str, low: int, high: int):
         h = F.xxhash64(F.lit(f"{seed}|{domain}|{name}"), "attempt")
@@ -128,7 +201,4 @@ def synthetic_questions(spark: SparkSession, domain: str, n: int, seed: int) ->
         answer = F.when(F.col("kind") == k, v.cast("bigint")).otherwise(answer)
     made = base.select("attempt", F.lit(domain).alias("domain"), question.alias("question"), answer.alias("answer"))
     first = made.groupBy("domain", "question").agg(F.min_by("answer", "attempt").alias("answer"), F.min("attempt").alias("attempt"))
-    out = first.orderBy("attempt").limit(n).select("attempt", "domain", "question", "answer")
-    if out.count() < n:
-        raise ValueError(f"fewer than {n} different questions")
-    return out
+    return first.orderBy("attempt").limit(n).select("attempt", "domain", "question", "answer")

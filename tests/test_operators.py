@@ -237,3 +237,39 @@ def test_resume_and_streams(spark, tmp_path):
     best = resume.best_so_far_stream(stream, "k", "value").writeStream.format("memory").queryName("best").outputMode("update")
     best.option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination(120)
     assert rows(spark.table("best"), "k", "best", "seen") == [("k1", 3.0, 3), ("k2", 5.0, 1)]
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('b,a,more\n1,"two\nlines",x\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffa,b\nq,2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("a,c\nq,2\n")
+    (tmp_path / "d.csv").write_text("a,b\nq,no number\n")
+    read = lambda *names: scans.csv_table(spark, [f"file://{tmp_path}/{n}.csv" for n in names], "a string, b int")
+    assert sorted(tuple(r) for r in read("a", "b").collect()) == [("q", 2), ("two\nlines", 1)]
+    assert read("a").columns == ["a", "b"]
+    with pytest.raises(ValueError, match="no column b"):
+        read("c")
+    with pytest.raises(Exception):  # noqa: B017
+        read("d").collect()
+    with pytest.raises(FileNotFoundError):
+        read("none")
+
+
+def test_integral_looks_at_the_digits(spark):
+    from gradus.functions.text import integral
+
+    cases = {"2.9999999999999996": None, "12.00000000001": None, "12.0": 12, "12.": 12, "-3": -3, "+4.000": 4, "204.5": None, "1.0E7": 10_000_000,
+             "1.5e0": None, "": None, "x": None, "9223372036854775807": 2**63 - 1, "9223372036854775808": None, "0.00000000000000000000": 0}
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r.x: r.v for r in df.select("x", integral(F.col("x")).alias("v")).collect()} == cases
+
+
+def test_replay_gives_every_slot(spark):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(["en"] * 30 + ["de"] * 20 + ["fr"] * 20 + ["es"] * 20)], "id int, domain string")
+    for slots, ratio, old in ((10, 10, ("de", "fr")), (10, 20, ("de", "fr", "es")), (7, 20, ("de", "fr"))):
+        kinds = [(r.kind, r.domain) for r in sampling.replay_mix(df, "id", "domain", "en", old, 20, slots, ratio, 1).collect()]
+        assert len(kinds) == 20 + slots and sum(k == "replay" for k, _ in kinds) == slots * ratio // 20
+
+
+def test_questions_are_tried_for_as_long_as_needed(spark):
+    assert scans.synthetic_questions(spark, "code", 2000, 1).count() == 2000
