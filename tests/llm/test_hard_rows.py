@@ -28,7 +28,7 @@ def test_every_row_gets_a_result(docs):
     assert ids(coded) == ALL and coded.where("doc_id = 1").select(F.size("ids")).first()[0] > 300_000
     assert ids(exact_dedup.exact_dedup(docs)) == ALL
     assert ids(line_dedup.drop_boilerplate(docs)) == ALL
-    assert ids(pii.replace_entities(docs)) == ALL
+    assert ids(pii.replace_entities(docs, "k")) == ALL
     assert ids(quality_cnn.score_quality(docs, quality_cnn.train([("good text here", 1), ("bad bad", 0)] * 5, epochs=1))) == ALL
     assert ids(toxicity_crf.score_toxicity(docs, toxicity_crf.Crf())) == ALL
     assert ids(simhash_dedup.near_classes(docs)) == ALL
