@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.operators.constraints import key_difference, orphans, require_none, require_unique, same_keys
+from gradus.operators.sampling import id_bin, numbered
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str, check: bool = True) -> DataFrame:
@@ -80,7 +81,12 @@ def checkpoint_grid(strategies: DataFrame, stages: DataFrame) -> DataFrame:
 
 
 def round_robin(df: DataFrame, group: str, order: str, ranks: dict[str, int]) -> DataFrame:
-    """Adds the place (``turn``, ``seat``) of each row when groups take turns in a fixed order."""
+    """Adds the place (``turn``, ``seat``) of each row when groups take turns in a fixed order.
+
+    An integer ``order`` is numbered bin by bin, another one group by group.
+    """
     seat = reduce(lambda c, kv: c.when(F.col(group) == kv[0], kv[1]), ranks.items(), F.when(F.lit(False), 0)).otherwise(len(ranks))
+    if df.schema[order].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return numbered(df, id_bin(order), [F.col(order)], [group], "turn").withColumn("seat", seat)
     turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return df.withColumns({"turn": turn, "seat": seat})

@@ -18,10 +18,49 @@ def digest(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def shuffled(df: DataFrame, key: str, seed: int | str, group: list[str] | None = None, rank: str = "rank") -> DataFrame:
-    """Adds the place of each row in its group's permutation, from 1."""
-    w = Window.partitionBy(*(group or [])).orderBy(digest(seed, F.col(key)), key)
-    return df.withColumn(rank, F.row_number().over(w))
+#: Bins of a permutation: rows of a group and bin are numbered in one task.
+HEX_DIGITS = 3
+
+
+def numbered(df: DataFrame, bin_: Column, order: list, group: list[str], rank: str = "rank") -> DataFrame:
+    """Adds the place of each row in its group, from 1, without a task that sees a whole group.
+
+    ``bin_`` is a number that never falls along ``order``. Rows of a bin are numbered, and the rows of
+    the bins before are added from a table with a row for each group and bin.
+    """
+    binned = df.withColumn("__bin", bin_)
+    sizes = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    renamed = sizes.select(*[F.col(g).alias(f"__{i}") for i, g in enumerate(group)], F.col("__bin").alias("__b"), "__before")
+    same = F.col("__bin").eqNullSafe(F.col("__b"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__{i}"))
+    inside = F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order))
+    ranked = binned.withColumn("__inside", inside).join(renamed, same)
+    return ranked.select(*df.columns, (F.col("__inside") + F.col("__before")).cast("int").alias(rank))
+
+
+def shuffled(
+    df: DataFrame, key: str, seed: int | str, group: list[str] | None = None, rank: str = "rank", limit: int | None = None
+) -> DataFrame:
+    """Adds the place of each row in its group's permutation, from 1.
+
+    With ``limit`` only that many rows of each group are kept; groups are cut to them before the
+    shuffle. Without it the permutation is numbered bin by bin.
+    """
+    place = digest(seed, F.col(key))
+    if limit is not None or not group:
+        w = Window.partitionBy(*(group or [])).orderBy(place, key)
+        ranked = df.withColumn(rank, F.row_number().over(w))
+        return ranked if limit is None else ranked.where(F.col(rank) <= limit)
+    bin_ = F.conv(F.substring(place, 1, HEX_DIGITS), 16, 10).cast("int")
+    return numbered(df, bin_, [place, F.col(key)], group, rank)
+
+
+def id_bin(key: str, rows: int = 65_536) -> Column:
+    """Bins of so many successive numbers of an integer key."""
+    return F.floor(F.col(key) / rows)
 
 
 def split_by_rank(df: DataFrame, cuts: list[tuple[str, int]], rank: str = "rank", name: str = "partition") -> DataFrame:
@@ -40,7 +79,7 @@ def split_by_rank(df: DataFrame, cuts: list[tuple[str, int]], rank: str = "rank"
 def sample(df: DataFrame, key: str, n: int, seed: int | str, group: list[str] | None = None) -> DataFrame:
     """``n`` rows of each group without replacement, in permutation order."""
     if group:
-        return shuffled(df, key, seed, group).where(F.col("rank") <= n)
+        return shuffled(df, key, seed, group, limit=n)
     taken = df.withColumn("__d", digest(seed, F.col(key))).orderBy("__d", key).limit(n)  # a top-n, no full sort
     return taken.withColumn("rank", F.row_number().over(Window.orderBy("__d", key))).drop("__d")
 
@@ -97,7 +136,8 @@ def draw_replay(memory: DataFrame, allocation: DataFrame, key: str, domain: str,
     lacking = short.limit(5).collect()
     if lacking:
         raise ValueError(f"replay memory too small: {lacking}")
-    ranked = shuffled(memory, key, seed, [domain])
+    most = allocation.agg(F.max("slots")).first()[0] or 0
+    ranked = shuffled(memory, key, seed, [domain], limit=most)
     return ranked.join(allocation.select(domain, "slots"), domain).where(F.col("rank") <= F.col("slots")).drop("slots")
 
 

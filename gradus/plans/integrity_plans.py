@@ -183,8 +183,9 @@ def exclusion_filter(spark, sf_dir):
 
 @R.add("ordered_unique", "SELECT user_id, list_transform(list_sort(list({'t': t, 'e': event_type})), lambda x: x.e) AS types FROM (SELECT user_id, event_type, min(event_id) AS t FROM events GROUP BY 1, 2) GROUP BY 1")
 def ordered_unique(spark, sf_dir):
-    e = tables(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))
-    return e.select("user_id", F.array_distinct("es.event_type").alias("types"))
+    firsts = tables(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    e = firsts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("es"))  # a row for each type
+    return e.select("user_id", F.col("es.event_type").alias("types"))
 
 
 @R.add("transient_filter", "SELECT event_id FROM events WHERE event_type NOT IN ('error', 'timeout')")

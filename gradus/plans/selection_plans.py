@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradus.operators import joins, sampling
@@ -28,7 +27,7 @@ def hash_shuffle(spark, sf_dir):
 @R.add("rank_split", f"""SELECT doc_id, lang, CASE WHEN r <= 20 THEN 'train' WHEN r <= 30 THEN 'validation' ELSE 'test' END AS partition
 FROM (SELECT doc_id, lang, {_rank('42', 'lang')} AS r FROM documents) WHERE r <= 45""")
 def rank_split(spark, sf_dir):
-    ranked = sampling.shuffled(tables(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 42, ["lang"])
+    ranked = sampling.shuffled(tables(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 42, ["lang"], limit=45)
     return sampling.split_by_rank(ranked, [("train", 20), ("validation", 10), ("test", 15)]).drop("rank")
 
 
@@ -90,8 +89,9 @@ def round_robin(spark, sf_dir):
 
 @R.add("sequential_ids", "SELECT doc_id, lang || '_' || source || '_' || lpad(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id)::VARCHAR, 4, '0') AS id FROM documents")
 def sequential_ids(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return tables(spark, sf_dir, "documents").select("doc_id", F.format_string("%s_%s_%04d", "lang", "source", rn).alias("id"))
+    d = tables(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    ranked = sampling.numbered(d, sampling.id_bin("doc_id"), [F.col("doc_id")], ["lang", "source"])
+    return ranked.select("doc_id", F.format_string("%s_%s_%04d", "lang", "source", "rank").alias("id"))
 
 
 @R.add("first_and_last", "SELECT user_id, arg_min(value, event_id) AS acquisition, arg_max(value, event_id) AS final, max(value) AS best, count(*) AS n FROM events GROUP BY 1")
