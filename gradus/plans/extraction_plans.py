@@ -320,6 +320,37 @@ def math_grades(spark, sf_dir):
     return graded.select("o_orderkey", "g.status", "g.correct", "g.final_answer", "g.extraction")
 
 
+@R.add(
+    "label_grades",
+    """WITH q AS (SELECT o_orderkey, o_custkey % 9 + 1 AS a, o_orderkey % 4 + 1 AS b, o_custkey % 6 + 1 AS c, o_orderkey % 3 + 1 AS d, o_orderkey % 5 = 0 AS mute FROM orders)
+SELECT o_orderkey, CASE WHEN mute THEN 'missing_final' WHEN a * d = b * c THEN 'correct' ELSE 'incorrect' END AS status, NOT mute AND a * d = b * c AS correct, mute AS needs_review,
+  CASE WHEN NOT mute THEN a || '/' || b END AS final_answer FROM q""",
+)
+def label_grades(spark, sf_dir):
+    """Fractions a/b behind a label, or none, against c/d."""
+    from gradus.functions.grading import grade_by_label_udf
+
+    a, b, c, d = ((F.col(k) % m + 1).cast("string") for k, m in (("o_custkey", 9), ("o_orderkey", 4), ("o_custkey", 6), ("o_orderkey", 3)))
+    response = F.when(F.col("o_orderkey") % 5 == 0, "I do not know what it could be").otherwise(F.concat(F.lit("so\nREPONSE: "), a, F.lit("/"), b))
+    graded = tables(spark, sf_dir, "orders").select("o_orderkey", grade_by_label_udf(F.concat(c, F.lit("/"), d), response).alias("g"))
+    return graded.select("o_orderkey", "g.status", "g.correct", "g.needs_review", "g.final_answer")
+
+
+@R.add(
+    "choice_grades",
+    """WITH q AS (SELECT o_orderkey, chr((65 + o_custkey % 5)::INT) AS gold, chr((65 + o_orderkey % 6)::INT) AS said FROM orders)
+SELECT o_orderkey, CASE WHEN said = 'F' THEN 'missing_choice' WHEN said = gold THEN 'correct' ELSE 'incorrect' END AS status, said = gold AS correct FROM q""",
+)
+def choice_grades(spark, sf_dir):
+    """Choices A to E, and an F that is none."""
+    from gradus.functions.grading import grade_choice_udf
+
+    letter = lambda k, m: F.concat(F.lit("("), F.chr(F.lit(65) + F.col(k) % m), F.lit(")"))
+    response = F.concat(F.lit("because\nREPONSE: "), letter("o_orderkey", 6))
+    graded = tables(spark, sf_dir, "orders").select("o_orderkey", grade_choice_udf(letter("o_custkey", 5), response).alias("g"))
+    return graded.select("o_orderkey", "g.status", "g.correct")
+
+
 @R.add("code_status", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ready' ELSE 'syntax_error' END AS status FROM conversations")
 def code_status(spark, sf_dir):
     """Programs by what can be said without running them."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gradus.functions import text
 from gradus.operators import constraints, joins
 from gradus.plans.base import Registry, tables
+from gradus.sources import scans, sinks
+from gradus.sources.scratch import scratch
 
 R = Registry()
 _FP = "sha256(lower(trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ', 'g'), ' ')))"
@@ -214,3 +216,35 @@ def source_lineage(spark, sf_dir):
     from gradus.sources.scans import lineage
 
     return lineage(tables(spark, sf_dir, "documents"), "documents", "default", "train").drop("fingerprint")
+
+
+@R.add("csv_round_trip", "SELECT n_nationkey, n_name || chr(10) || '\"q\", x' AS n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    """Written with cells over two lines, in two files whose columns stand in different orders; read by name."""
+    path = scratch(spark, "csv")
+    n = tables(spark, sf_dir, "nation").withColumn("n_name", F.concat("n_name", F.lit('\n"q", x')))
+    sinks.write_csv(n.where("n_nationkey < 9"), f"{path}/a", ["n_regionkey", "n_nationkey", "n_name"])
+    sinks.write_csv(n.where("n_nationkey >= 9"), f"{path}/b", ["n_name", "n_regionkey", "n_nationkey"])
+    return scans.csv_table(spark, [f"{path}/a", f"{path}/b"], "n_nationkey int, n_name string, n_regionkey int")
+
+
+@R.add("json_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def json_round_trip(spark, sf_dir):
+    """A table of JSON lines that is written, added to, found complete and read with a unique key."""
+    path, schema = scratch(spark, "json"), "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string"
+    o = tables(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    log = scans.json_lines_if_any(spark, path, schema)  # empty before the first unit of work
+    sinks.write_json_lines(o.where("o_orderkey % 3 = 0"), path)
+    sinks.append_json_lines(o.where("o_orderkey % 3 <> 0"), path)
+    if not sinks.is_complete(spark, path):
+        raise RuntimeError("a finished table has no marker")
+    return scans.json_lines(spark, path, schema, "o_orderkey").unionByName(log)
+
+
+@R.add("document_round_trip", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey = 1")
+def document_round_trip(spark, sf_dir):
+    """One row as an indented document, read as a whole file."""
+    path = scratch(spark, "document")
+    row = tables(spark, sf_dir, "region").where("r_regionkey = 1").select("r_regionkey", "r_name")
+    spark.createDataFrame([(sinks.pretty_json(row),)], "value string").coalesce(1).write.text(path)
+    return scans.json_document(spark, path, "r_regionkey int, r_name string")
