@@ -28,3 +28,10 @@ def consistent_only(predicted: Column, expected: Column, consistent: Column) ->
 def correct_and_format(correct: Column, format_ok: Column, format_weight: float = 0.02) -> Column:
     """Correctness plus a weighted format part; weight 0 leaves correctness alone."""
     return correct.cast("int") * 1.0 + format_ok.cast("int") * F.lit(format_weight)
+
+
+def reward_list(completions: list, expected: list, reward) -> list[float]:
+    """The callback form of a trainer: a reward for each completion; lists of other lengths raise."""
+    if len(completions) != len(expected):
+        raise ValueError(f"{len(completions)} completions for {len(expected)} expected values")
+    return [float(reward(c, e)) for c, e in zip(completions, expected, strict=True)]

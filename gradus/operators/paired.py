@@ -42,20 +42,25 @@ def transitions(pairs: DataFrame, before: Column, after: Column, domain: str, id
 def bootstrap_ci(pairs: DataFrame, group: str, difference: str, order: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean difference (in points) by resampling rows within groups.
 
-    Draws are digests of (seed, replicate, draw), so any engine gives the same interval
-    and no generator state ties the tasks together. Only sums of drawn differences move;
-    rows of a group carry their rank, and draw j of replicate r takes the row of rank
-    digest mod n.
+    Each row, named by its ``order`` key, makes one draw in each replicate: a digest of (seed,
+    replicate, key) mod n is a place among the group's differences in ascending order, and the
+    counts of the few different differences tell which one lies there. So draws are summed where
+    the rows lie, and a sum for each task, group and replicate is all that is shuffled; any engine
+    gives the same interval. Differences are small integers (-1, 0, 1 for paired outcomes).
     """
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy(group))
-    ranked = pairs.select(group, F.col(difference).cast("bigint").alias("d"), n.alias("n"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).alias("rank"))
-    slots = ranked.select(group, "n", F.col("rank").alias("draw")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    text = F.concat_ws("|", F.lit(str(seed)), "replicate", "draw")
-    pick = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col("n")).alias("rank")
-    drawn = slots.select(group, "replicate", "n", pick).groupBy(group, "rank", "replicate", "n").agg(F.count("*").alias("times"))
-    sums = drawn.join(ranked.select(group, "rank", "d"), [group, "rank"]).groupBy(group, "replicate", "n").agg(F.sum(F.col("d") * F.col("times")).alias("s"))
+    d = F.col(difference).cast("bigint")
+    counts = pairs.groupBy(F.col(group).alias("__g"), d.alias("d")).agg(F.count("*").alias("c"))
+    kinds = counts.groupBy("__g").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("d", "c"))).alias("__kinds"))
+    upto = lambda k: F.aggregate(F.filter("__kinds", lambda x: x["d"] <= k["d"]), F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
+    kinds = kinds.select("__g", "n", F.transform("__kinds", lambda k: F.struct(upto(k).alias("end"), k["d"].alias("d"))).alias("__ends"))
+    # one row for each group, with an entry for each different difference
+    rows = pairs.select(group, F.col(order).cast("string").alias("__key")).join(kinds, F.col(group).eqNullSafe(F.col("__g")))
+    draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    text = F.concat_ws("|", F.lit(str(seed)), "replicate", "__key")
+    place = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col("n"))
+    drawn = draws.select(group, "n", "replicate", "__ends", place.alias("__place"))
+    value = F.element_at(F.filter("__ends", lambda k: k["end"] > F.col("__place")), 1)["d"]
+    sums = drawn.groupBy(group, "replicate", "n").agg(F.sum(value).alias("s"))
     each = sums.select(group, "n", (F.lit(100.0) * F.col("s") / F.col("n")).alias("estimate"))
     low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
     sorted_ = F.sort_array(F.collect_list("estimate"))

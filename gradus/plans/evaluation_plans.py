@@ -156,8 +156,8 @@ _REPS, _SEED = 200, 42
 @R.add(
     "bootstrap_ci",
     f"""WITH {_G},
-k AS (SELECT domain, after::INT - before::INT AS d, count(*) OVER (PARTITION BY domain) AS n, row_number() OVER (PARTITION BY domain ORDER BY doc_id) - 1 AS rank FROM g),
-s AS (SELECT domain, n, rank AS draw, unnest(range({_REPS})) AS replicate FROM k),
+k AS (SELECT domain, doc_id, after::INT - before::INT AS d, count(*) OVER (PARTITION BY domain) AS n, row_number() OVER (PARTITION BY domain ORDER BY after::INT - before::INT, doc_id) - 1 AS rank FROM g),
+s AS (SELECT domain, n, doc_id AS draw, unnest(range({_REPS})) AS replicate FROM k),
 p AS (SELECT domain, n, replicate, ('0x' || substr(md5('{_SEED}|' || replicate || '|' || draw), 1, 8))::BIGINT % n AS rank FROM s),
 e AS (SELECT p.domain, p.n, replicate, 100.0::DOUBLE * sum(d) / p.n AS estimate FROM p JOIN k ON p.domain = k.domain AND p.rank = k.rank GROUP BY 1, 2, 3)
 SELECT domain, n, list_sort(list(estimate))[{int(0.025 * (_REPS - 1)) + 1}] AS ci_low, list_sort(list(estimate))[{int(0.975 * (_REPS - 1)) + 1}] AS ci_high,

@@ -7,9 +7,6 @@ continuously with Structured Streaming; event-time windows are extensions of our
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +15,12 @@ from gradus.operators.joins import remaining
 
 
 def last_record(log: DataFrame, key: str, order: str) -> DataFrame:
-    """One record for each id: the last one written."""
-    return log.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in log.columns if c != key])
+    """One record for each id: the last one written. Of records with the same ``order`` the one
+    with the largest hash of all its columns is taken, whole."""
+    others = [c for c in log.columns if c != key]
+    tie = F.xxhash64(*[c for c, t in log.dtypes if "map<" not in t])
+    best = log.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(order), tie)).alias("__last"))
+    return best.select(*[key if c == key else F.col("__last")[c].alias(c) for c in log.columns])
 
 
 def persistable(results: DataFrame, status: str = "status") -> DataFrame:
@@ -95,17 +96,7 @@ def session_counts(events: DataFrame, time: str, gap: str, by: list[str], late:
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "events")
 
 
-def best_so_far_stream(stream: DataFrame, key: str, value: str):
-    """A stateful operator: for each key the best value and the number of records so far."""
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best, seen = state.get if state.exists else (float("-inf"), 0)
-        for pdf in batches:
-            best, seen = max(best, float(pdf[value].max())), seen + len(pdf)
-        state.update((best, seen))
-        yield pd.DataFrame({key: [group[0]], "best": [best], "seen": [seen]})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"`{key}` {kind}, best double, seen bigint", "best double, seen bigint", "update", "NoTimeout"
-    )
+def best_so_far_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """For each key the best value and the number of records so far; written in update mode. NaN is no value."""
+    number = F.col(value).cast("double")
+    return stream.groupBy(key).agg(F.max(F.when(~F.isnan(number), number)).alias("best"), F.count("*").alias("seen"))

@@ -273,3 +273,17 @@ def test_replay_gives_every_slot(spark):
 
 def test_questions_are_tried_for_as_long_as_needed(spark):
     assert scans.synthetic_questions(spark, "code", 2000, 1).count() == 2000
+
+
+def test_callback_checks_lengths():
+    from gradus.functions.rewards import reward_list
+
+    assert reward_list(["1", "2"], ["1", "3"], lambda c, e: c == e) == [1.0, 0.0]
+    with pytest.raises(ValueError, match="2 completions for 1"):
+        reward_list(["1", "2"], ["1"], lambda c, e: 1)
+
+
+def test_last_record_is_one_record(spark):
+    log = spark.createDataFrame([(1, 5, "a", "x"), (1, 5, "b", "y"), (1, 4, "c", "z"), (2, 1, None, "q")], "id int, at int, p string, q string")
+    got = {r.id: (r.at, r.p, r.q) for r in resume.last_record(log, "id", "at").collect()}
+    assert got[1] in {(5, "a", "x"), (5, "b", "y")} and got[2] == (1, None, "q")
