@@ -36,7 +36,9 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(vertex, root) for every vertex that has an edge; root is the least of its component.
 
     ``edges`` has two columns of an orderable type; direction, repeats and loops don't
-    matter. Vertices without an edge to another are not in the result.
+    matter. Vertices without an edge to another are not in the result. Rounds grow with the
+    logarithm of a component's size; if ``max_rounds`` do not settle it, an error is raised, and
+    no result is cut short.
     """
     a, b = edges.columns
     arcs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()

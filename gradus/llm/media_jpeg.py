@@ -14,8 +14,10 @@ exactly, so the DC-only thumbnail is the payload, byte for byte, and any JPEG de
 shows the same samples. A row of tiles is one restart interval. Payloads beyond one
 image's size go on in further images of the same stream.
 
-Defined results: a null payload is stored as an empty stream with status ``empty``;
-repeated rows are coded each.
+Defined results: a null payload is stored as an empty stream with status ``empty``; an empty
+one is a row of zero samples; very long payloads go on in further images; repeated rows are
+coded each; empty tables give empty results. Columns of the input that are named like a
+result are replaced by it, all others are passed on.
 """
 
 from __future__ import annotations
@@ -417,7 +419,8 @@ def thumbnail_hashes(image: np.ndarray) -> tuple[int, int]:
 
 
 def _batches(df: DataFrame, column: str, limit: int, schema: str, work):
-    carried = [c for c in df.columns if c != column]
+    results = {f.split()[0].strip("`") for f in schema.split(", ")}
+    carried = [c for c in df.columns if c != column and c not in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, column, limit):

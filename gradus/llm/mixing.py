@@ -20,7 +20,8 @@ Defined results: tokens are words between white space; a null or empty text has
 it belongs to every block that its position is in; a null source is a source of its own;
 sources without tokens get weight zero and no rows, or one pass if asked for; rows that repeat take part each. With
 one source, or shares that are all equal, the exponent does not matter and the upper end
-of the interval is taken. Empty tables give empty results.
+of the interval is taken. Very long texts are counted whole; empty tables give empty results.
+Columns of the input that begin with ``__`` are replaced, all others are passed on.
 """
 
 from __future__ import annotations

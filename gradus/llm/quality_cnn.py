@@ -15,7 +15,10 @@ document are learned from. Scoring always covers whole documents.
 
 Defined results: a null text counts as empty; an empty text has one chunk of zero bytes
 and gets its score; without labelled rows of both kinds every score is the only label
-seen (0.5 if none); rows that repeat are scored each.
+seen (0.5 if none); very long texts are scored whole; rows that repeat are scored each; empty
+tables give empty results. A doc_id with several labels counts with the largest. A column of
+the input named ``score`` is replaced, all others but the text are passed on, except that
+``__text`` is reserved.
 """
 
 from __future__ import annotations

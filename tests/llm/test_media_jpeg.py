@@ -108,7 +108,11 @@ def test_query(spark, sf_dir):
 
 
 def test_nulls_and_clashing_columns(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, b"", "y"), (2, b"ab", "z")], "doc_id bigint, payload binary, other string")
+    rows = [(1, None, "x", 0, "a", "m", 7.0), (2, b"", "y", 0, "b", "m", 7.0), (2, b"ab", "z", 0, "c", "m", 7.0)]
+    schema = "doc_id bigint, payload binary, other string, status int, width string, media string, samples double"
+    df = spark.createDataFrame(rows, schema)
+    names = with_features(with_media(df)).columns
+    assert len(set(names)) == len(names) and names[:2] == ["doc_id", "other"]
     got = with_features(with_media(df)).collect()
     assert [(r.doc_id, r.status, r.samples and len(r.samples), r.other) for r in got] == [
         (1, "empty", None, "x"), (2, "ok", 64, "y"), (2, "ok", 64, "z")]
