@@ -1,26 +1,44 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Length and prefix hash cost one pass over the texts. Only rows whose length *and*
-prefix are shared go on to the full hash, so most contents are never digested by the
-operator. Rows travel as keys of a few bytes; a text is never shuffled.
+prefix are shared go on to the full hash, which is made where the text lies; a text is
+never shuffled, rows travel as keys of a few bytes.
+
+Which keys are shared is told by a bit map over hashes of (length, prefix), built map-side
+and sent to all tasks. It has ``BITS_A_ROW`` bits for each row, ``MAX_BITS`` (32 MB) at
+most: a row with a shared key always has its bit, so no group is lost at any size; a row
+without one goes on only if it falls on the bit of another key, and then forms a group of its
+own. Nothing is switched off when keys grow in number, the part of such rows grows slowly.
+
+Of groups of equal texts those of ``HOT_ROWS`` and more rows, the ``HOT_GROUPS`` largest at
+most, reach their rows by broadcast. Each other group has either fewer than ``HOT_ROWS`` rows
+or at most one in ``HOT_GROUPS`` of all, so no task of the join that takes these gets a hot key.
 
 Defined results: a null text counts as empty; texts are equal when identical after
 lower-casing A-Z; of equal texts the row with the largest doc_id stays (null doc_ids
 only when all are null); rows that repeat a doc_id are each reported with the same
-verdict. Empty tables give empty results; other columns are passed on untouched.
+verdict. Empty tables give empty results; very long texts are digested whole. Other columns
+are passed on untouched, but for columns of the input that are named like a result
+(``keep_id``, ``group_size``, ``kept``) or begin with ``__``: those are replaced or dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import LOWER, UPPER, ascii_lower, documents
+from gradus.llm.common import LOWER, UPPER, ascii_lower, documents, snapshot
 
-#: Bytes of the normalised text that the second level hashes.
+#: Characters of the normalised text that the second level hashes.
 PREFIX_CHARS = 128
-#: Surviving (length, prefix) keys are broadcast up to this many (about 24 bytes each).
-BROADCAST_KEYS = 200_000
+#: Bits of the map of shared keys: for each row, and of the whole map (32 MB) at most.
+BITS_A_ROW = 8
+MAX_BITS = 1 << 28
+#: Groups whose verdict reaches the rows by broadcast (about 60 bytes each), and their least size.
+HOT_GROUPS = 4096
+HOT_ROWS = 64
+
+_WORD = 1 << 15  # bits that Spark's bitmap functions put in one row
 
 
 def _norm():
@@ -28,35 +46,50 @@ def _norm():
 
 
 def _full_hash():
-    """128 bits and more: two independent digests of the whole normalised text."""
+    """SHA-256 of the whole normalised text."""
     return F.sha2(_norm(), 256)
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS, broadcast_keys: int = BROADCAST_KEYS
-) -> DataFrame:
-    """Adds ``keep_id``, ``group_size`` and ``kept`` to every row of ``docs``."""
-    spark = docs.sparkSession
+def _bit(bits: int) -> Column:
+    """The place of a row's (length, prefix) in a map of ``bits`` bits, a power of two."""
+    return F.xxhash64("__len", "__pre").bitwiseAND(F.lit(bits - 1))
+
+
+def _shared_keys(keyed: DataFrame, bits: int) -> DataFrame:
+    """(__at, __map): rows of the bit map of keys that several rows have."""
+    # Counted map-side first, so a hot key is one row a task.
+    pairs = keyed.groupBy("__len", "__pre").agg(F.count("*").alias("__n")).where("__n > 1")
+    place = pairs.select(_bit(bits).alias("__b"))
+    rows = place.groupBy(F.floor(F.col("__b") / _WORD).cast("long").alias("__at"))
+    return rows.agg(F.bitmap_construct_agg((F.col("__b") % _WORD).cast("long")).alias("__map"))
+
+
+def _has_bit(bits: int) -> Column:
+    """Whether the joined map has the row's bit."""
+    at = (_bit(bits) % _WORD).cast("int")
+    byte = F.conv(F.hex(F.substring("__map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.expr("1") == F.call_function("getbit", byte, at % 8), F.lit(False))
+
+
+def candidates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` without its text, with ``__len``, ``__pre`` and the full hash of rows that share both."""
     keyed = docs.withColumns(
-        {
-            "__len": F.octet_length(_norm()),
-            "__pre": F.xxhash64(F.substring(_norm(), 1, prefix_chars)),
-        }
+        {"__len": F.octet_length(_norm()), "__pre": F.xxhash64(F.substring(_norm(), 1, prefix_chars))}
     )
-    # Level 1 and 2. The pairs of length and prefix are counted map-side first; lengths
-    # that only one row has fall away before prefixes are compared.
-    pairs = keyed.groupBy("__len", "__pre").agg(F.count("*").alias("__n"))
-    lengths = pairs.groupBy("__len").agg(F.sum("__n").alias("__rows")).where("__rows > 1").select("__len")
-    shared = pairs.where("__n > 1").join(lengths, "__len", "left_semi").select("__len", "__pre")
-    found = shared.limit(broadcast_keys + 1).collect()
-    if len(found) <= broadcast_keys:
-        few = spark.createDataFrame([(r[0], r[1], True) for r in found], "__len int, __pre bigint, __more boolean")
-        rows = keyed.join(F.broadcast(few), ["__len", "__pre"], "left")  # at most ``broadcast_keys`` rows
-        rows = rows.withColumn("__full", F.when(F.col("__more"), _full_hash())).drop("__more")
-    else:
-        # Too many keys to send everywhere: a digest made where the text lies is
-        # cheaper than moving the text to its key.
-        rows = keyed.withColumn("__full", _full_hash())
+    wanted, bits = min(max_bits, BITS_A_ROW * docs.count()), _WORD
+    while bits < wanted:
+        bits *= 2
+    bitmap = _shared_keys(keyed, bits)
+    # at most ``max_bits`` / 8 bytes
+    rows = keyed.join(F.broadcast(bitmap), F.floor(_bit(bits) / _WORD) == F.col("__at"), "left")
+    return rows.withColumn("__full", F.when(_has_bit(bits), _full_hash())).drop("text", "__at", "__map")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Adds ``keep_id``, ``group_size`` and ``kept`` to every row of ``docs``."""
+    carried = [c for c in docs.columns if c not in ("text", "keep_id", "group_size", "kept") and not c.startswith("__")]
+    rows = candidates(docs.select(*carried, "text"), prefix_chars, max_bits)
+    rows = snapshot(rows.withColumn("__row", F.monotonically_increasing_id()), "digests")  # numbered once, in writing
     # Level 3: groups of equal texts, counted map-side, so a hot group costs one row a task.
     groups = (
         rows.where(F.col("__full").isNotNull())
@@ -64,15 +97,21 @@ def exact_dedup(
         .agg(F.max(id_col).alias("__keep"), F.count("*").alias("__size"))
         .where("__size > 1")
     )
-    # Rows without a full hash match nothing; a key of their own spreads them.
-    own = F.concat(F.lit("-"), F.hex(F.xxhash64(id_col, "__len", "__pre")))
-    out = rows.withColumn("__full", F.coalesce("__full", own)).drop("text", "__len", "__pre").join(groups, "__full", "left")
-    single = F.col("__size").isNull()
+    largest = groups.where(F.col("__size") >= HOT_ROWS).orderBy(F.desc("__size"), "__full").limit(HOT_GROUPS)
+    hot = largest.select(F.col("__full").alias("__hot"), F.col("__keep").alias("__hot_keep"), F.col("__size").alias("__hot_size"))
+    marked = rows.join(F.broadcast(hot), F.col("__full") == F.col("__hot"), "left")  # ``HOT_GROUPS`` rows at most
+    # Rows that need no other group get a key of their own, which spreads them.
+    own = F.concat(F.lit("-"), F.hex(F.xxhash64("__row")))
+    key = F.when(F.col("__full").isNull() | F.col("__hot").isNotNull(), own).otherwise(F.col("__full"))
+    out = marked.withColumn("__full", key).drop("__len", "__pre", "__row", "__hot").join(groups, "__full", "left")
+    size = F.coalesce("__hot_size", "__size", F.lit(1))
+    keep = F.when(F.col("__hot_size").isNotNull(), F.col("__hot_keep")).when(F.col("__size").isNotNull(), F.col("__keep"))
+    keep = keep.otherwise(F.col(id_col))
     return out.select(
-        *[c for c in docs.columns if c not in ("text", "keep_id", "group_size", "kept")],
-        F.when(single, F.col(id_col)).otherwise(F.col("__keep")).alias("keep_id"),
-        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        (single | F.col(id_col).eqNullSafe(F.col("__keep"))).alias("kept"),
+        *carried,
+        keep.alias("keep_id"),
+        size.cast("long").alias("group_size"),
+        ((size == 1) | F.col(id_col).eqNullSafe(keep)).alias("kept"),
     )
 
 
