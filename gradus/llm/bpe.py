@@ -18,7 +18,9 @@ looked up afterwards; the tables hold a bounded number of entries.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an
 empty string; special tokens in a text become their ids, as the tokenizers library does;
-rows that repeat are encoded each.
+very long texts are encoded whole; rows that repeat are encoded each; empty tables give empty
+results. Columns of the input named ``ids`` or ``decoded`` are replaced, all others but the
+text are passed on, except that ``__text`` is reserved.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, pieces
+from gradus.llm.common import documents, map_batches, pieces, release
 from gradus.llm.piece_table import ENTRIES, PieceTable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -238,7 +240,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in pieces(batches, "__text", 4 << 20):
+        for batch in pieces(batches, "__text", 2 << 20):
             got = coder.encode_decode(batch.column("__text").to_pylist())
             flat = np.frombuffer(b"".join([g[0] for g in got]), coder.id_type).astype(np.int32)
             ends = np.cumsum([0] + [len(g[0]) // coder.id_type.itemsize for g in got]).astype(np.int32)
@@ -246,8 +248,9 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", path: str | None = N
             if decode:
                 arrays.append(pa.array([g[1] for g in got], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        release()
 
-    return docs.select(*carried, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*carried, F.col("text").alias("__text")), run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import getpass
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,24 @@ def drop_snapshot(df: DataFrame) -> None:
         _delete(spark.sparkContext, path)
 
 
+#: Bytes of rows that go to a Python worker at once. Spark's own limits (64 MB, 10,000 rows) are
+#: held several times, by the executor and by each of its workers.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of ``BATCH_BYTES`` at most, however long texts are.
+
+    The limit is a setting of the session, and stays; one that is lower already is kept.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(name).strip().lower()).groups()
+    held = int(number) * 1024 ** "bkmgtp".index(unit[0] if unit else "b")
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()

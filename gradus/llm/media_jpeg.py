@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, pieces
+from gradus.llm.common import documents, map_batches, pieces
 
 #: Tiles in a row of an image, and rows of an image (65,535 samples is the format's limit).
 TILES = 64
@@ -428,7 +428,7 @@ def _batches(df: DataFrame, column: str, limit: int, schema: str, work):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made.values()], names=[*carried, *made])
 
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried]
-    return df.select(*carried, column).mapInArrow(run, ", ".join([*fields, schema]))
+    return map_batches(df.select(*carried, column), run, ", ".join([*fields, schema]))
 
 
 def with_media(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:

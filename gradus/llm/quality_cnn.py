@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, held_out, pieces, sample_labelled
+from gradus.llm.common import documents, held_out, map_batches, pieces, sample_labelled
 
 WIDTH = 6
 FILTERS = 28
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, net: Net) -> DataFrame:
 
     kept = docs.select(*carried, F.col("text").alias("__text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + ["score double"])
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)
 
 
 def fit(spark: SparkSession, sf_dir: str) -> Net:

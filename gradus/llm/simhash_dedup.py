@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, pieces, snapshot
+from gradus.llm.common import documents, map_batches, pieces, snapshot
 from gradus.llm.components import components
 
 WIDTH = 3
@@ -113,7 +113,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", width: int = WIDTH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return map_batches(docs.select(id_col, "text"), run, f"`{id_col}` {kind}, fp bigint")
 
 
 def _index(rows: DataFrame, level: int) -> DataFrame:
@@ -294,6 +294,30 @@ def near_links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit:
     return out
 
 
+#: Classes whose name reaches their members by broadcast, and the least members of one.
+HOT_CLASSES = 4096
+HOT_MEMBERS = 64
+
+
+def name_classes(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id) from (fp, __first) and the components' (vertex, root).
+
+    Names of the ``HOT_CLASSES`` largest classes are broadcast, so a class of very many
+    fingerprints does not meet in one task; members of the others join them by their root.
+    """
+    rooted = first.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "__first", F.coalesce("root", "fp").alias("__root"))
+    rooted = snapshot(rooted, "rooted")
+    least = rooted.groupBy("__root").agg(F.min("__first").alias("__least"), F.count("*").alias("__members")).where("__members > 1")
+    largest = least.where(F.col("__members") >= HOT_MEMBERS).orderBy(F.desc("__members"), "__root").limit(HOT_CLASSES)
+    hot = largest.select(F.col("__root").alias("__hot"), F.col("__least").alias("__hot_least"))
+    marked = rooted.join(F.broadcast(hot), F.col("__root") == F.col("__hot"), "left")  # ``HOT_CLASSES`` rows at most
+    own = F.when(F.col("__hot").isNotNull(), F.col("fp")).otherwise(F.col("__root")).alias("__own")
+    marked = marked.select("fp", "__first", (F.col("__hot").isNotNull()).alias("__is_hot"), "__hot_least", own)
+    named = marked.join(least, F.col("__own") == F.col("__root"), "left")
+    alone = F.when(F.col("__members").isNull(), F.col("__first")).otherwise(F.col("__least"))
+    return named.select("fp", F.when(F.col("__is_hot"), F.col("__hot_least")).otherwise(alone).alias("component_id"))
+
+
 def near_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -305,12 +329,7 @@ def near_classes(
     """(id, fp, component_id) for every row; component_id is the smallest id reachable."""
     prints = snapshot(with_fingerprint(docs, id_col, width, seed), "fingerprints")
     first = snapshot(prints.groupBy("fp").agg(F.min(id_col).alias("__first")), "distinct")
-    roots = components(near_links(first, max_bits, bucket_limit))
-    rooted = first.join(roots, F.col("fp") == F.col("vertex"), "left").select(
-        "fp", "__first", F.coalesce("root", "fp").alias("__root")
-    )
-    least = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    named = snapshot(rooted.join(least, "__root").select("fp", "component_id"), "classes")
+    named = snapshot(name_classes(first, components(near_links(first, max_bits, bucket_limit))), "classes")
     # Hot fingerprints sit on the left side only; the right side has each once, and a
     # skewed partition is split at run time.
     return prints.join(named, "fp").select(id_col, "fp", "component_id")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.bpe import default_path
-from gradus.llm.common import documents, pieces, release, scratch_path, snapshot
+from gradus.llm.common import documents, map_batches, pieces, release, scratch_path, snapshot
 from gradus.llm.piece_table import ENTRIES, PieceTable, is_word
 
 MAGIC = b"GRADTOK1"
@@ -483,7 +483,7 @@ def write_store(
         .sortWithinPartitions(*order, "text")
         .select("doc_id", "text")
     )
-    written = snapshot(ordered.mapInArrow(_write_shards(root, path, end_id), _ROW), "written")
+    written = snapshot(map_batches(ordered, _write_shards(root, path, end_id), _ROW), "written")
     stored = (~F.col("none")).alias("stored")
     totals = written.groupBy("shard").agg(
         F.sum("count").alias("ids"),

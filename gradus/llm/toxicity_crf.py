@@ -18,7 +18,9 @@ The model is learned from at most ``TRAIN_DOCS`` labelled documents of at most
 
 Defined results: a null text counts as empty; an empty text has no tokens and gets the
 score of a text without a suspicious token; without labelled rows of both kinds every
-score is 0; rows that repeat are scored each.
+score is 0; very long texts are scored whole; rows that repeat are scored each; empty tables
+give empty results. A doc_id with several labels counts with the largest. Columns of the input
+named ``score`` or ``spans`` are replaced, all others are passed on.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents, held_out, pieces, sample_labelled
+from gradus.llm.common import documents, held_out, map_batches, pieces, release, sample_labelled
 
 #: Bounds of the sample that a model is learned from.
 TRAIN_DOCS = 4000
@@ -374,16 +376,18 @@ def score_toxicity(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             scores, spans = scorer.score(batch.column("text").to_pylist())
             found = [[dict(zip(("start", "end", "p"), s, strict=True)) for s in row] for row in spans]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), pa.array(scores), pa.array(found, span_type)], names=[*carried, "score", "spans"]
             )
+        del scorer  # its tables, before the worker waits for another stage
+        release()
 
     kept = docs.select(*carried)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["score double", f"spans {_SPANS}"])
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)
 
 
 def fit(spark: SparkSession, sf_dir: str) -> Crf:

@@ -4,6 +4,7 @@ import re
 import pytest
 import xxhash
 
+from gradus.llm import simhash_dedup
 from gradus.llm.components import components
 from gradus.llm.simhash_dedup import drop_near_duplicates, fingerprints, near_classes, near_links, op10_simhash_dedup
 
@@ -64,7 +65,9 @@ def test_links_span_dense_classes_exactly(spark, limit):
     assert all(named.get(k, k) == v for k, v in expected.items())
 
 
-def test_query_equals_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("hot", [2, 64])
+def test_query_equals_brute_force(spark, sf_dir, hot, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "HOT_MEMBERS", hot)  # names by broadcast, or by join
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     prints = {d.doc_id: plain_fingerprint(d.text) for d in docs}
     ids = sorted(prints)
