@@ -6,6 +6,7 @@ from gradus.llm.bpe import op6_bpe
 from gradus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from gradus.llm.line_dedup import OP7_SQL, op7_line_dedup
 from gradus.llm.media_jpeg import op1_media_jpeg
+from gradus.llm.merkle import OP11_SQL, op11_merkle_manifest
 from gradus.llm.mixing import OP2_SQL, op2_mixing
 from gradus.llm.pii import op9_pii
 from gradus.llm.quality_cnn import op3_quality_cnn
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_toxicity_crf": op8_toxicity_crf,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 QUERY_SQL = {
     "op2_mixing": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
