@@ -67,7 +67,10 @@ FAMILY = {
 }
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_EMAIL = r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# A run of labels is entered at its start only and never given back, and a domain has ten labels of 63
+# characters at most before its last one: the search is linear, and its depth bounded, in any text.
+_LABEL = r"[\p{L}\p{N}_%+-]"
+_EMAIL = rf"(?<!{_LABEL})(?<!{_LABEL}\.){_LABEL}++(?:\.{_LABEL}++)*+@(?:[\p{{L}}\p{{N}}-]{{1,63}}\.){{1,10}}\p{{L}}{{2,}}"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.(-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
 _IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"
 _CARD = r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])"
@@ -139,6 +142,14 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Characters are looked up inside blocks, as finding a place in a long string takes a scan.
+_BLOCK = 64
+
+
+def _blocks(value: Column, n: int) -> Column:
+    return F.regexp_extract_all(value, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
+
+
 def _reformat(value: Column) -> Column:
     """Each character replaced by one of its class: digit, letter by case and script, else itself.
 
@@ -146,11 +157,9 @@ def _reformat(value: Column) -> Column:
     by the key stream in ``__stream``.
     """
 
-    def one(x: Column, i: Column) -> Column:
-        c = F.substr(x["v"], i, F.lit(1))
-        n = F.conv(F.substr(x["s"], i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+    def one(c: Column, n: Column, hexed: Column) -> Column:
         return (
-            F.when(x["hex"], _pick(_HEX, n))
+            F.when(hexed, _pick(_HEX, n))
             .when((c >= "0") & (c <= "9"), _pick(_DIGITS, n))
             .when((c >= "a") & (c <= "z"), _pick(_LOWER, n))
             .when((c >= "A") & (c <= "Z"), _pick(_UPPER, n))
@@ -162,10 +171,15 @@ def _reformat(value: Column) -> Column:
             .otherwise(c)
         )
 
+    def block(v: Column, s: Column, hexed: Column) -> Column:
+        number = lambda i: F.conv(F.substr(s, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+        chars = F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: _let(F.struct(F.substr(v, i, F.lit(1)).alias("c"), number(i).alias("n")), lambda x: one(x["c"], x["n"], hexed)))
+        return F.when(v.isNull(), "").otherwise(F.array_join(chars, ""))  # the stream is longer than the value
+
     hexed = value.rlike(r"\A(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}\z")
     bound = F.struct(value.alias("v"), F.col("__stream").alias("s"), hexed.alias("hex"))
-    new = _let(bound, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["v"])), lambda i: one(x, i)), ""))
-    return F.when(F.length(value) > 0, new).otherwise("")
+    blocks = lambda x: F.zip_with(_blocks(x["v"], _BLOCK), _blocks(x["s"], 2 * _BLOCK), lambda v, s: block(v, s, x["hex"]))
+    return F.when(F.length(value) > 0, _let(bound, lambda x: F.array_join(blocks(x), ""))).otherwise("")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -211,11 +225,12 @@ def _pour(entity: Column, digits: Column) -> Column:
 def _cased(entity: Column, value: Column) -> Column:
     """``value`` with capitals where the entity has them."""
 
-    def one(i: Column) -> Column:
-        c, v = F.substr(entity, i, F.lit(1)), F.substr(value, i, F.lit(1))
-        return F.when(c.rlike(r"\p{Lu}"), F.upper(v)).otherwise(v)
+    def block(e: Column, v: Column) -> Column:
+        at = lambda x, i: F.substr(x, i, F.lit(1))
+        one = lambda i: F.when(at(e, i).rlike(r"\p{Lu}"), F.upper(at(v, i))).otherwise(at(v, i))
+        return F.when(v.isNull(), "").when(e.isNull(), v).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), one), ""))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    return F.array_join(F.zip_with(_blocks(entity, _BLOCK), _blocks(value, _BLOCK), block), "")
 
 
 _HEAD = rf"\A(?:{_TITLE})\.? "

@@ -50,3 +50,24 @@ def test_long_copies_are_one_class(docs):
 def test_mix_of_hard_rows(docs):
     got = mixing.draw(docs, mixing.Target(passes=2.0))
     assert set(docs.columns) < set(got.columns) and {(False, 1), (False, 2), (False, 3), (False, 4)} <= set(ids(got))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("1 " + "a." * 100_000, 0),
+        ("1 a@" + "a." * 100_000, 0),
+        ("1 " + "a@" * 100_000, 0),
+        ("1 " + "x" * 1_000_000, 0),
+        ("1 " + ".." * 100_000 + "ann@post.org", 1),
+        ("token=" + "aB3/" * 50_000 + " end", 1),
+        ("x" * 100_000 + "@post.org end", 1),
+        ("Mr " + "A" + "b" * 100_000 + " end", 1),
+        ("4" * 300_000 + " 12-" * 10_000, 0),
+    ],
+)
+def test_pii_of_long_tokens(spark, text, found):
+    got = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "k").first()
+    assert got.n_entities == found and (got.text == text) == (found == 0)
+    if found:
+        assert got.text.endswith(text[-4:]) and text[:400] not in got.text.replace("..", "")
