@@ -21,7 +21,7 @@ it belongs to every block that its position is in; a null source is a source of
 sources without tokens get weight zero and no rows, or one pass if asked for; rows that repeat take part each. With
 one source, or shares that are all equal, the exponent does not matter and the upper end
 of the interval is taken. Very long texts are counted whole; empty tables give empty results.
-Columns of the input that begin with ``__`` are replaced, all others are passed on.
+Columns of the input that begin with ``__`` are dropped, all others are passed on.
 """
 
 from __future__ import annotations
@@ -149,13 +149,14 @@ def _position(block: Column, seed: str) -> Column:
 def draw(
     docs: DataFrame, target: Target, source: str = "source", id_col: str = "doc_id", seed: str = SEED, keep_empty: bool = False
 ) -> DataFrame:
-    """The rows of the mix: ``docs`` (all its columns) with ``__block``, ``__place``, ``__tokens``.
+    """The rows of the mix: ``docs`` (all columns but those that begin with ``__``) with ``__block``, ``__place``, ``__tokens``.
 
     A row stands in every block that takes it: blocks 0, 1, ... hold all documents of the
     source, the last one those whose place in the permutation lies before the cut. Rows of
     a source sorted by block and place are its reading order; equal rows share a place and
     are taken together. With ``keep_empty`` sources without tokens are read once, as block 0.
     """
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if not c.startswith("__")])
     counted = docs.withColumns(
         {
             "__source": F.col(source),

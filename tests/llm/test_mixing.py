@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm import mixing
 from gradus.llm.mixing import SEED, Target, draw, find_exponent, source_shares
@@ -75,3 +76,14 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     assert got.columns[:4] == docs.columns
     assert {(r.doc_id, r.source) for r in got.collect()} == {(1, None), (None, "x"), (2, "x")}
     assert draw(docs.limit(0), Target(passes=2.0)).collect() == []
+
+
+def test_columns_named_like_those_inside(spark):
+    inside = ["__s", "__bins", "__cut", "__block", "__place", "__tokens", "__source", "__key", "__full", "__rest", "__n", "__last", "__s2"]
+    others = ["budget", "docs", "shares"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x y z " * (i + 1)) for i in range(9)], "doc_id bigint, source string, text string")
+    more = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(inside + others)])
+    got = draw(more, Target(passes=2.0))
+    assert got.columns == [*docs.columns, *others, "__block", "__place", "__tokens"]
+    plain_rows = draw(docs, Target(passes=2.0))
+    assert sorted(map(tuple, got.select(*plain_rows.columns).collect())) == sorted(map(tuple, plain_rows.collect()))
