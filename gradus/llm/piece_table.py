@@ -5,8 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-#: Entries of each of the two generations that a table holds.
+#: Entries, and characters of their pieces, of each of the two generations that a table holds.
 ENTRIES = 250_000
+CHARACTERS = 4_000_000
+#: Longer pieces (addresses, encoded data) are looked up for their batch alone.
+LONG = 100
 STOPS = ".,"
 
 
@@ -37,21 +40,24 @@ class PieceTable:
 
     ``learn`` encodes pieces not seen before, given as a list; values are added with +
     where a full stop or comma behind letters has been cut off. Two generations of
-    entries bound the memory: when the young one is full it becomes the old one.
+    entries bound the memory: when the young one is full, by its entries or by the characters of their
+    pieces, it becomes the old one. Values grow with their pieces, so they are bounded too.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list], entries: int = ENTRIES):
-        self.learn, self.entries = learn, entries
+    def __init__(self, learn: Callable[[list[str]], list], entries: int = ENTRIES, characters: int = CHARACTERS):
+        self.learn, self.entries, self.characters = learn, entries, characters
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0  # characters of the young generation
         self.stops = dict(zip(STOPS, learn(list(STOPS)), strict=True))
 
     def look_up(self, texts: list[str | None]) -> list[list]:
         """The values of each text's pieces, in order."""
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.entries or self.held > self.characters:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old, stops = self.young, self.old, self.stops
         split = [known_form(t).replace("\n", " ").split(" ") for t in texts]
+        before = len(young)
         missing = [p for p in set().union(*split) if p not in young]
         new, stopped = [], []
         for p in missing:
@@ -73,4 +79,10 @@ class PieceTable:
             young.update(zip(new, self.learn(new), strict=True))
         for p in stopped:
             young[p] = young[p[:-1]] + stops[p[-1]]
-        return [[young[p] for p in s] for s in split]
+        values = [[young[p] for p in s] for s in split]
+        for p in list(young)[before:]:  # what this batch added
+            if len(p) > LONG:
+                del young[p]
+            else:
+                self.held += len(p)
+        return values

@@ -50,9 +50,8 @@ END_ID = 2
 INDEX_KEYS = 1 << 15
 #: Bits per key on each level of the minimal perfect hash.
 LOAD = 2.0
-#: Bytes of text that one shard takes, in the mean, and rows by which the texts' size is estimated.
+#: Bytes of text that one shard takes, in the mean.
 SHARD_BYTES = 32 << 20
-SIZE_ROWS = 2000
 #: Ids that are read at once where documents follow each other.
 READ_IDS = 1 << 18
 
@@ -440,10 +439,8 @@ def _read_back(root: str, width: int, base: np.ndarray):
 
 
 def _text_bytes(docs: DataFrame) -> int:
-    """About how many bytes the texts have: rows times the mean of the first ``SIZE_ROWS``. Only
-    the number of shards depends on it."""
-    seen = [r[0] for r in docs.select(F.coalesce(F.octet_length("text"), F.lit(0))).take(SIZE_ROWS)]
-    return docs.count() * sum(seen) // len(seen) if seen else 0
+    """Bytes of all texts. Only the number of shards depends on it."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def _copies_over_shards(written: DataFrame, totals: list) -> DataFrame:

@@ -87,3 +87,20 @@ def test_a_shard_that_is_cut_off_is_an_error(spark, cut):
         store[7]
     with pytest.raises(Exception, match="shard"):
         read_store(store, written, base).collect()
+
+
+def test_table_of_pieces_is_bounded_by_characters():
+    from gradus.llm.piece_table import LONG, PieceTable
+
+    table = PieceTable(lambda new: [[p] for p in new], characters=1000)
+    for i in range(50):
+        texts = [f"w{i}a{j}" * 5 for j in range(9)] + ["q" * (LONG + 1) + str(i), "end."]
+        assert table.look_up([" ".join(texts)]) == [[[t] if t != "end." else ["end", "."] for t in texts]]
+        assert max(map(len, table.young)) <= LONG and sum(map(len, {**table.old, **table.young})) < 3000
+
+
+def test_shards_follow_all_texts(spark):
+    """Short texts first, long ones behind: all of them count."""
+    docs = spark.createDataFrame([(i, "a " * (5 if i < 2500 else 2000)) for i in range(2600)], "doc_id bigint, text string").coalesce(1)
+    store, written, _ = write_store(docs, shard_bytes=20_000)
+    assert written.select("shard").distinct().count() >= 15 and read_store(store, written, _).count() == 2600
