@@ -100,21 +100,93 @@ def require_count(df: DataFrame, condition, expected: int, what: str) -> None:
         raise Violation(f"{what}: {n} rows, expected {expected}")
 
 
-def _passages(x: Column, words: int) -> Column:
-    """Distinct digests of all runs of ``words`` words, in lower case; none of shorter texts."""
-    split = F.filter(F.split(F.lower(x), r"[ \n\t\r]+"), lambda w: w != "")
-    starts = F.when(F.size(split) >= words, F.sequence(F.lit(1), F.size(split) - (words - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(F.array(split), lambda w: F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice(w, i, words), " ")))))
-    return F.array_distinct(F.flatten(runs))
+def run_words(text: Column) -> Column:
+    """Words in lower case, between blanks, tabs and line ends."""
+    return F.filter(F.split(F.lower(text), r"[ \n\t\r]+"), lambda w: w != "")
+
+
+#: A word's hash has 31 bits and a factor 28, so that a run of eight is summed without an overflow.
+_WORD_BITS, _FACTOR = 31, 28
+
+
+def _factors(words: int) -> list[int]:
+    """Odd factors, one for each place of a run."""
+    return [((0x9E3779B97F4A7C15 * (2 * i + 1)) >> 20) % (1 << _FACTOR) | 1 for i in range(words)]
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << _WORD_BITS) - 1)))
+
+
+def _run_hash(hashes: Column, at: Column, words: int) -> Column:
+    """Hash of the run that begins at a place: a sum over its words, made from their hashes."""
+    out = F.element_at(hashes, at) * F.lit(_factors(words)[0])
+    for j, factor in enumerate(_factors(words)[1:], 1):
+        out = out + F.element_at(hashes, at + j) * F.lit(factor)
+    return out
+
+
+def _starts(words: Column, run: int) -> Column:
+    none = F.array().cast("array<int>")
+    return F.when(F.size(words) >= run, F.sequence(F.lit(1), F.size(words) - (run - 1))).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Bits of the filter for each run looked for, and the most bits that it has; beyond that all runs pass it.
+_BITS_A_RUN, _MOST_BITS = 16, 1 << 24
+
+
+def _filter_words(runs: DataFrame) -> tuple[Column | None, int]:
+    """The filter as an array of longs with 32 bits each, and its number of bits; none for more runs than it holds."""
+    n = runs.select("__hash").distinct().count()
+    bits = 1 << max(12, (_BITS_A_RUN * n - 1).bit_length())
+    if bits > _MOST_BITS:
+        return None, bits
+    place = F.pmod("__hash", F.lit(bits))
+    set_ = runs.select(F.floor(place / 32).alias("w"), (place % 32).cast("int").alias("b")).distinct()
+    rows = set_.groupBy("w").agg(F.sum(F.expr("shiftleft(1L, b)")).alias("v")).collect()  # bits / 32 at most
+    words = ["0"] * (bits // 32)
+    for r in rows:
+        words[r.w] = str(r.v)
+    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>"), bits
 
 
 def passage_leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, words: int = 8) -> DataFrame:
     """(item, documents): in how many documents a run of ``words`` words of an item stands.
 
-    The side that grows is the documents'. Their runs meet those of the items, of which each
-    is one row; a run that many documents have is spread over their partitions, as only the
-    items' side is sent around, by broadcast while its size allows that.
+    Runs are told by sums of word hashes, made once a word. A bit map of the items' runs, part of the
+    plan, lets few others pass before anything is unfolded; the text of a run is put together only for those, and
+    compared. The documents are read once and no text of theirs is shuffled. For more runs than the map
+    holds (a million) there is none, and hashes meet in a join. Null texts and texts of fewer words have no runs.
     """
-    runs = items.select(item_id, F.explode(_passages(F.col(text), words)).alias("__run"))
-    found = docs.select(doc_id, F.explode(_passages(F.col(text), words)).alias("__run")).join(runs, "__run")
-    return found.groupBy(item_id).agg(F.count_distinct(doc_id).alias("documents"))
+    if words > 1 << (63 - _WORD_BITS - _FACTOR - 1):
+        raise ValueError("runs of eight words at most")
+    cut = items.select(item_id, run_words(F.col(text)).alias("__w")).where(F.size("__w") >= words)
+    at = cut.select(item_id, "__w", _word_hashes(F.col("__w")).alias("__h"), F.explode(_starts(F.col("__w"), words)).alias("__i"))
+    runs = at.select(item_id, _run_hash(F.col("__h"), F.col("__i"), words).alias("__hash"), F.array_join(F.slice("__w", F.col("__i"), words), " ").alias("__run"))
+    runs = runs.distinct()
+    held, bits = _filter_words(runs)
+
+    def passing(w: Column) -> Column:
+        """(hash, place) of the runs that the filter lets pass."""
+
+        def of(h: Column) -> Column:
+            pairs = F.transform(_starts(w, words), lambda i: F.struct(_run_hash(h, i, words).alias("h"), i.alias("i")))
+            if held is None:
+                return pairs
+            place = lambda x: F.pmod(x["h"], F.lit(bits))
+            word = lambda x: F.element_at(held, (F.floor(place(x) / 32) + 1).cast("int"))
+            bit = lambda x: F.call_function("getbit", word(x), (place(x) % 32).cast("int"))
+            return F.filter(pairs, lambda x: bit(x) == 1)
+
+        return _let(_word_hashes(w), of)
+
+    found = docs.select(doc_id, run_words(F.col(text)).alias("__w")).where(F.size("__w") >= words)
+    # each passing run takes its own words along, not the document
+    taken = F.transform(passing(F.col("__w")), lambda x: F.struct(x["h"].alias("h"), F.array_join(F.slice("__w", x["i"], words), " ").alias("run")))
+    hits = found.select(doc_id, F.explode(taken).alias("__x")).select(doc_id, F.col("__x.h").alias("__hash"), F.col("__x.run").alias("__run"))
+    return hits.join(runs, ["__hash", "__run"]).groupBy(item_id).agg(F.count_distinct(doc_id).alias("documents"))

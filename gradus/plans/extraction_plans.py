@@ -242,13 +242,14 @@ def integral_numbers(spark, sf_dir):
 )
 def boxed_functions(spark, sf_dir):
     """The last box of responses with one, two and an open last box."""
-    from gradus.functions.grading import boxed_any_udf, boxed_contents_udf, boxed_whole_udf
+    from gradus.functions import braces
 
     turn = F.col("turn").cast("string")
     good = F.concat(F.lit("x \\boxed{"), F.col("role"), F.lit("{"), turn, F.lit("}} y"))
     response = F.concat(F.lit("\\boxed {1} then "), F.when(F.col("turn") % 3 < 2, good).otherwise("\\boxed{open {brace}"))
     c = tables(spark, sf_dir, "conversations").select("conv_id", "turn", response.alias("r"))
-    return c.select("conv_id", "turn", boxed_contents_udf("r").alias("contents"), boxed_whole_udf("r").alias("whole"), boxed_any_udf("r").alias("closing"))
+    r = F.col("r")
+    return c.select("conv_id", "turn", braces.boxed_contents(r).alias("contents"), braces.boxed_whole(r).alias("whole"), braces.boxed_any(r).alias("closing"))
 
 
 @R.add(

@@ -56,7 +56,8 @@ def answer_leaks(spark, sf_dir):
 def one_to_one_join(spark, sf_dir):
     o, li = tables(spark, sf_dir, "orders", "lineitem")
     counts = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return joins.one_to_one(o.select("o_orderkey", "o_custkey"), counts, "o_orderkey", check=False)
+    filled = o.select("o_orderkey", "o_custkey").join(counts.select("o_orderkey"), "o_orderkey", "left_semi")
+    return joins.one_to_one(filled, counts, "o_orderkey", joins.INLINE)
 
 
 @R.add("lookup_join", "SELECT o_custkey AS c_custkey, o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -74,14 +75,14 @@ def paired_records(spark, sf_dir):
     grades = lambda c, f: b.select("id", "domain", c.alias("correct"), f.alias("format_ok"), F.concat(F.lit("g"), c.cast("int")).alias("status"))
     gens = lambda extra, cap: b.select("id", (F.col("n_chars") + extra).alias("tokens"), (F.col("n_chars") > cap).alias("truncated"))
     q, t = F.col("quality"), F.col("toxic")
-    return joins.paired_records(grades(q == 1, t == 0), grades(t == 1, q == 0), gens(0, 4000), gens(1, 5000), check=False)
+    return joins.paired_records(grades(q == 1, t == 0), grades(t == 1, q == 0), gens(0, 4000), gens(1, 5000), joins.INLINE)
 
 
 @R.add("resume_anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def resume_anti_join(spark, sf_dir):
     o, li = tables(spark, sf_dir, "orders", "lineitem")
     done = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return joins.remaining(o.select("o_orderkey"), done, "o_orderkey", check=False)
+    return joins.remaining(o.select("o_orderkey"), done, "o_orderkey", joins.INLINE)
 
 
 @R.add("key_difference", """SELECT doc_id, 'left_only' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
