@@ -69,6 +69,82 @@ def bootstrap_ci(pairs: DataFrame, group: str, difference: str, order: str, repl
     )
 
 
+#: Random bits of a digest that are used (fifteen hex digits), and of how many digests a half is made.
+_BITS, _DIGESTS = 60, 20
+#: Binary digits of a probability; a draw is undecided after them with chance 2 ** -48.
+_PLACES = 48
+
+
+def _half(m: Column, tag: Column) -> Column:
+    """How many of ``m`` fair coins show heads: counted for up to 1200 of them; for more, 1200 coins stand for all.
+
+    The mean and standard deviation are those of ``m`` coins then, and a uniform digest fills the gaps between counts.
+    """
+    most = _BITS * _DIGESTS
+    word = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", tag, i.cast("string"))), 1, 15), 16, 10).cast("bigint")
+    k = F.least(F.lit(_DIGESTS), F.ceil(m / F.lit(_BITS))).cast("int")
+    rest = (m % _BITS).cast("int")
+    last = (m < most) & (rest > 0)
+    mask = lambda i: F.when(last & (i == k - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), rest) - 1).otherwise((1 << _BITS) - 1)
+    heads = F.aggregate(F.sequence(F.lit(0), k - 1), F.lit(0), lambda a, i: a + F.bit_count(word(i).bitwiseAND(mask(i))))
+    deviate = (heads - F.lit(most / 2) + word(F.lit(_DIGESTS)) / F.lit(float(1 << _BITS)) - F.lit(0.5)) / F.sqrt(F.lit(most / 4))
+    many = F.floor(m / F.lit(2.0) + deviate * F.sqrt(m.cast("double")) / F.lit(2.0) + F.lit(0.5)).cast("bigint")
+    return F.when(m <= 0, F.lit(0).cast("bigint")).when(m <= most, heads.cast("bigint")).otherwise(F.greatest(F.lit(0).cast("bigint"), F.least(m, many)))
+
+
+def binomial(n: Column, part: Column, whole: Column, tag: Column) -> Column:
+    """How many of ``n`` draws fall on ``part`` of ``whole`` things, from digests of ``tag``.
+
+    A draw is a binary fraction that is compared with part / whole digit by digit: of those not decided yet half have a one.
+    Where the quotient's digit is one, those with a zero are below it; where it is zero, those with a one are
+    above. So a binomial is a few throws of fair coins, whatever ``n`` is.
+    """
+    long = lambda x: x.cast("bigint")
+
+    def step(s: Column, j: Column) -> Column:
+        one = s["r"] * 2 >= whole
+        state = F.struct(s["r"].alias("r"), s["m"].alias("m"), s["below"].alias("below"), _half(s["m"], F.concat_ws("|", tag, j.cast("string"))).alias("h"))
+        nxt = lambda x: F.struct(
+            (x["r"] * 2 - F.when(one, whole).otherwise(0)).alias("r"),
+            F.when(one, x["h"]).otherwise(x["m"] - x["h"]).alias("m"),
+            (x["below"] + F.when(one, x["m"] - x["h"]).otherwise(0)).alias("below"),
+        )
+        return F.when(s["m"] > 0, F.element_at(F.transform(F.array(state), nxt), 1)).otherwise(s)
+
+    start = F.struct(long(part).alias("r"), long(n).alias("m"), F.lit(0).cast("bigint").alias("below"))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(_PLACES)), start, step, lambda s: s["below"])
+    return F.when(part >= whole, long(n)).when(part <= 0, F.lit(0).cast("bigint")).otherwise(drawn)
+
+
+def bootstrap_counts(pairs: DataFrame, group: str, difference: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean difference (in points), from the counts of the different differences alone.
+
+    A resample of n rows is a multinomial draw over these counts: the first difference gets a binomial share of the n draws, the
+    next one of what is left, and so on. Rows are read once, to count them; the draws cost groups x replicates x
+    different differences. Null differences are left out; a group whose differences are all alike has an interval of one point.
+    """
+    counts = pairs.where(F.col(difference).isNotNull()).groupBy(F.col(group).alias("g"), F.col(difference).cast("bigint").alias("d")).agg(F.count("*").alias("c"))
+    kinds = counts.groupBy("g").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("d", "c"))).alias("kinds"))  # few differences
+    rows = kinds.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # a group's name is part of the tag, so that groups of the same counts draw apart
+    tag = lambda k: F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("g").cast("string"), F.lit("")), F.col("replicate").cast("string"), k["d"].cast("string"))
+
+    def step(s: Column, k: Column) -> Column:
+        got = F.struct(s["n"].alias("n"), s["whole"].alias("whole"), s["sum"].alias("sum"), binomial(s["n"], k["c"], s["whole"], tag(k)).alias("x"))
+        nxt = lambda y: F.struct((y["n"] - y["x"]).alias("n"), (y["whole"] - k["c"]).alias("whole"), (y["sum"] + y["x"] * k["d"]).alias("sum"))
+        return F.element_at(F.transform(F.array(got), nxt), 1)
+
+    start = F.struct(F.col("n").alias("n"), F.col("n").alias("whole"), F.lit(0).cast("bigint").alias("sum"))
+    total = F.aggregate("kinds", start, step, lambda s: s["sum"])
+    # dealt by replicate: all the work is in the draws
+    each = rows.repartition("g", "replicate").select("g", "n", (F.lit(100.0) * total / F.col("n")).alias("estimate"))
+    low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
+    sorted_ = F.sort_array(F.collect_list("estimate"))  # one for each replicate
+    return each.groupBy(F.col("g").alias(group), "n").agg(
+        F.element_at(sorted_, low + 1).alias("ci_low"), F.element_at(sorted_, high + 1).alias("ci_high"), F.avg("estimate").alias("mean_estimate")
+    )
+
+
 def bootstrap_ci_exact(pairs: DataFrame, group: str, difference: str, order: str, replicates: int, seed: int = 42) -> DataFrame:
     """The interval of published figures: one generator a group, rows in order of their id.
 

@@ -169,6 +169,43 @@ def bootstrap_ci(spark, sf_dir):
     return out.withColumn("mean_estimate", F.round("mean_estimate", 9))
 
 
+_WORD = "('0x' || substr(md5({tag}), 1, 15))::BIGINT"
+_HEADS = (
+    "list_sum(list_transform(range(least(20, (m + 59) // 60)), lambda i: bit_count("
+    + _WORD.format(tag="tag || '|' || (j + 1) || '|' || i")
+    + " & (CASE WHEN m < 1200 AND m % 60 > 0 AND i = least(20, (m + 59) // 60) - 1 THEN (1::BIGINT << (m % 60)::INT) - 1 ELSE 1152921504606846975 END))))"
+)
+_MANY = f"floor(m / 2.0::DOUBLE + ((hd - 600.0::DOUBLE + {_WORD.format(tag="tag || '|' || (j + 1) || '|20'")} / 1152921504606846976.0::DOUBLE - 0.5::DOUBLE) / sqrt(300.0::DOUBLE)) * sqrt(m::DOUBLE) / 2.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+
+
+def _binomial_sql(name: str, source: str) -> str:
+    """Rows of ``source`` (key..., n, part, whole, tag) with ``x``, the draw; a step for each binary digit."""
+    return f"""{name}_r AS (
+  SELECT domain, replicate, tag, whole, 0 AS j, part AS r, n AS m, 0::BIGINT AS below FROM {source}
+  UNION ALL
+  SELECT domain, replicate, tag, whole, j + 1, r * 2 - CASE WHEN r * 2 >= whole THEN whole ELSE 0 END, CASE WHEN r * 2 >= whole THEN h ELSE m - h END, below + CASE WHEN r * 2 >= whole THEN m - h ELSE 0 END
+  FROM (SELECT *, CASE WHEN m <= 1200 THEN hd ELSE greatest(0, least(m, {_MANY})) END AS h FROM (SELECT *, {_HEADS}::BIGINT AS hd FROM {name}_r WHERE m > 0 AND j < 48))),
+{name} AS (SELECT s.*, CASE WHEN part >= whole THEN n WHEN part <= 0 THEN 0 ELSE b.below END AS x
+  FROM {source} s JOIN (SELECT domain, replicate, arg_max(below, j) AS below FROM {name}_r GROUP BY 1, 2) b USING (domain, replicate))"""
+
+
+@R.add(
+    "bootstrap_counts",
+    f"""WITH RECURSIVE {_G},
+c AS (SELECT domain, count(*) AS n, count(*) FILTER (WHERE before AND NOT after) AS lost, count(*) FILTER (WHERE before = after) AS same FROM g GROUP BY 1),
+s1 AS (SELECT domain, replicate, n, lost AS part, n AS whole, lost, same, '{_SEED}|' || domain || '|' || replicate || '|-1' AS tag FROM c, range({_REPS}) t(replicate)),
+{_binomial_sql("b1", "s1")},
+s2 AS (SELECT domain, replicate, n - x AS n, same AS part, whole - lost AS whole, x AS lost, n AS total, '{_SEED}|' || domain || '|' || replicate || '|0' AS tag FROM b1),
+{_binomial_sql("b2", "s2")},
+e AS (SELECT domain, total AS n, 100.0::DOUBLE * ((n - x) - lost) / total AS estimate FROM b2)
+SELECT domain, n, list_sort(list(estimate))[{int(0.025 * (_REPS - 1)) + 1}] AS ci_low, list_sort(list(estimate))[{int(0.975 * (_REPS - 1)) + 1}] AS ci_high,
+  round(avg(estimate), 9) AS mean_estimate FROM e GROUP BY 1, 2""",
+)
+def bootstrap_counts(spark, sf_dir):
+    g = graded(spark, sf_dir).withColumn("d", F.col("after").cast("int") - F.col("before").cast("int"))
+    return paired.bootstrap_counts(g, "domain", "d", _REPS, _SEED).withColumn("mean_estimate", F.round("mean_estimate", 9))
+
+
 @R.add(
     "paired_delta_over_seeds",
     """WITH r AS (SELECT year(l_shipdate) AS seed, l_returnflag AS domain, l_linenumber % 3 AS ratio, count(*) AS n, count(*) FILTER (WHERE l_quantity > 25) AS c FROM lineitem GROUP BY 1, 2, 3),
