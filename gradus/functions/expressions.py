@@ -1,8 +1,9 @@
 """Equality of mathematical answers: numbers, fractions, a LaTeX subset, tuples and sets.
 
-An expression is parsed to a tree and compared by value: exactly as fractions where only
-rational operations occur, else as doubles; expressions with letters are compared at
-several points. What cannot be parsed gives None, which graders report as a status.
+An expression is parsed to a tree. Where it is a quotient of polynomials (letters, pi, square roots and rational
+numbers), the tree gives its normal form, and equality is equality of keys (``canonical_key``). Other expressions are
+compared by value, as doubles, those with letters at several points. What cannot be parsed gives None, which
+graders report as a status.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from dataclasses import dataclass
 from fractions import Fraction
 
+from gradus.functions.canonical import Inexact, Quotient, as_quotient
+
 #: Points at which letters are evaluated: letter k has POINTS[j] + k / 7 at point j.
 POINTS = (Fraction(37, 11), Fraction(53, 29), Fraction(97, 41))
 MAX_EXPONENT = 64
@@ -59,7 +62,7 @@ def _tokens(text: str) -> list[str]:
 
 
 class _Reader:
-    """Recursive descent; a node is a function of the letters' values."""
+    """Recursive descent; a node is a function of what letters and numbers stand for."""
 
     def __init__(self, tokens: list[str]):
         self.t, self.i = tokens, 0
@@ -145,7 +148,7 @@ class _Reader:
                 self.t[self.i - 1 : self.i] = list(now)
                 now = self.t[self.i - 1]
             value = Fraction(now)
-            return lambda env: value
+            return lambda env: env(value)
         self.i -= 1
         return self.atom()
 
@@ -153,9 +156,9 @@ class _Reader:
         now = self.take()
         if now[0].isdigit() or now[0] == ".":
             value = Fraction(now)
-            return lambda env: value
+            return lambda env: env(value)
         if now == "\\pi":
-            return lambda env: math.pi
+            return lambda env: env(now)
         if now.isalpha():
             if self.peek() == "_":
                 self.take()
@@ -197,12 +200,21 @@ def _divide(a, b):
 
 
 def _power(a, b):
+    if isinstance(a, Quotient) or isinstance(b, Quotient):
+        exponent = as_quotient(b).value
+        if exponent is None:
+            raise Inexact("power")
+        return as_quotient(a).power(exponent)
     if isinstance(a, Fraction) and isinstance(b, Fraction) and b.denominator == 1 and abs(b) <= MAX_EXPONENT:
         return a ** int(b)
     return float(a) ** float(b)
 
 
 def _root(x, n):
+    if isinstance(x, Quotient):
+        if n != 2:
+            raise Inexact("root")
+        return x.root()
     if isinstance(x, Fraction) and x >= 0 and n == 2:
         a, b = math.isqrt(x.numerator), math.isqrt(x.denominator)
         if a * a == x.numerator and b * b == x.denominator:
@@ -211,11 +223,40 @@ def _root(x, n):
 
 
 def _factorial(x):
+    if isinstance(x, Quotient):
+        return Quotient.number(_factorial(x.value))
     if not isinstance(x, Fraction) or x.denominator != 1 or not 0 <= x <= 170:
         raise Unreadable("factorial")
     return Fraction(math.factorial(int(x)))
 
 
+def _at(point: Fraction):
+    """What letters and numbers stand for at a point."""
+
+    def env(x):
+        if isinstance(x, Fraction):
+            return x
+        return math.pi if x == "\\pi" else point + Fraction(ord(x) % 64, 7)
+
+    return env
+
+
+def _symbols(x):
+    """What they stand for in a normal form."""
+    return Quotient.number(x) if isinstance(x, Fraction) else Quotient.atom("pi" if x == "\\pi" else x)
+
+
+def canonical_key(text: str | None) -> str | None:
+    """The key of the expression's normal form; None if it can't be read, has none, or is a tuple, interval or set."""
+    if text is None or not text.strip():
+        return None
+    try:
+        value = _Reader(_tokens(text)).top()(_symbols)
+        return value.key if isinstance(value, Quotient) else None
+    except (Unreadable, ArithmeticError, ValueError, TypeError, AttributeError, RecursionError):
+        return None
+
+
 def read_values(text: str | None) -> list | None:
     """The expression's value at each point, or None if it cannot be read."""
     if text is None or not text.strip():
@@ -224,7 +265,7 @@ def read_values(text: str | None) -> list | None:
         node = _Reader(_tokens(text)).top()
         out = []
         for p in POINTS:
-            out.append(node(lambda c, p=p: p + Fraction(ord(c) % 64, 7)))
+            out.append(node(_at(p)))
         return out
     except (Unreadable, ArithmeticError, ValueError, TypeError, AttributeError, RecursionError):
         return None
@@ -254,6 +295,14 @@ def equal_values(a: list, b: list) -> bool:
     return all(map(_same, a, b))
 
 
+def equal_texts(a: str, b: str) -> bool:
+    """Whether two expressions that can be read are equal: by their keys, or else by their values."""
+    left, right = canonical_key(a), canonical_key(b)
+    if left is not None and right is not None:
+        return left == right
+    return equal_values(read_values(a), read_values(b))
+
+
 # -- whole numbers under + - * /
 
 

@@ -14,10 +14,13 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradus.functions.expressions import equal_values, read_values
+from gradus.functions import braces
+from gradus.functions.expressions import canonical_key, equal_texts, read_values
+from gradus.functions.text import SPACE, strip
 
 # How final answers are announced, what a strict answer looks like, and how
 # code stands in a response.
@@ -121,13 +124,14 @@ def grade_by_label(expected: str | None, response: str | None) -> dict:
     elif value is None:
         status = "unparsed_prediction"
     else:
-        status = _compare(gold, value)
+        status = _compare(expected, final)
     return _graded(status, strict, final) | {"needs_review": status not in ("correct", "incorrect")}
 
 
-def _compare(gold: list, value: list) -> str:
+def _compare(gold: str, answer: str) -> str:
+    """Of two texts that can be read."""
     try:
-        return "correct" if equal_values(gold, value) else "incorrect"
+        return "correct" if equal_texts(gold, answer) else "incorrect"
     except (ArithmeticError, TypeError, ValueError):
         return "verification_error"
 
@@ -145,8 +149,7 @@ def grade_by_box(expected: str | None, response: str | None) -> dict:
     elif value is None:
         status = "unparsed_answer"
     else:
-        gold = parse_gold(expected)
-        status = "unsupported_gold" if gold is None else _compare(gold, value)
+        status = "unsupported_gold" if parse_gold(expected) is None else _compare(expected, final)
     return _graded(status, _STRICT_B.search(response or "") is not None, final) | {"extraction": how}
 
 
@@ -173,7 +176,7 @@ def rescue(candidate: str | None, expected: str | None) -> str:
     a, b = read_values(candidate), read_values(expected)
     if a is None or b is None:
         return "verification_unavailable"
-    return {"correct": "rescued_correct", "incorrect": "candidate_incorrect"}.get(_compare(b, a), "verification_error")
+    return {"correct": "rescued_correct", "incorrect": "candidate_incorrect"}.get(_compare(expected, candidate), "verification_error")
 
 
 # -- programs
@@ -320,6 +323,62 @@ def _columns(work: Callable, kind: str):
     return run
 
 
+@F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("readable", T.BooleanType())]))
+def _read_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        keys = [canonical_key(x) for x in s]
+        yield pd.DataFrame({"key": keys, "readable": [k is not None or read_values(x) is not None for k, x in zip(keys, s, strict=True)]})
+
+
+@F.pandas_udf(T.StringType())
+def _compare_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for gold, answer in batches:
+        yield pd.Series([_compare(g, a) for g, a in zip(gold, answer, strict=True)], dtype=object)
+
+
+def last_labelled(text: Column) -> Column:
+    """What stands behind the last label of a final answer, on its line; null without one."""
+    pattern = rf"(?imud)^{SPACE}*(?:REPONSE|RÉPONSE|FINAL_ANSWER|Final answer){SPACE}*:{SPACE}*(.+?){SPACE}*$"
+    return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
+
+
+def graded_by_box(df: DataFrame, expected: str, response: str) -> DataFrame:
+    """``df`` with ``status``, ``correct``, ``format_ok``, ``final_answer`` and ``extraction``, as ``grade_by_box`` gives them.
+
+    Answers are cut out of the responses without Python. Every different answer, and every different gold, is read once and
+    becomes the key of its normal form; equality is equality of keys. Only different pairs of which one has no normal form
+    are compared by value. Columns of ``df`` with these names are replaced; a null response has no answer.
+    """
+    names = ["status", "correct", "format_ok", "final_answer", "extraction"]
+    carried = [c for c in df.columns if c not in names]
+    text = F.coalesce(F.col(response), F.lit(""))
+    boxed, named = braces.boxed_any(text), last_labelled(text)
+    how = F.when(F.col("__boxed").isNotNull(), "boxed").when(F.col("__named").isNotNull(), "final_line").otherwise("no_final_answer")
+    strict = text.rlike(rf"(?imd)^{SPACE}*REPONSE{SPACE}*:{SPACE}*\$?{SPACE}*\\boxed{SPACE}*\{{")
+    rows = df.select(*carried, boxed.alias("__boxed"), named.alias("__named"), strict.alias("format_ok"), F.col(expected).alias("__gold"))
+    rows = rows.withColumns({"final_answer": F.coalesce("__boxed", "__named", F.lit("")), "extraction": how}).drop("__boxed", "__named")
+
+    pairs = rows.select("__gold", "final_answer").distinct().where(F.col("final_answer") != "")
+    texts = pairs.select(F.col("final_answer").alias("__x")).unionByName(pairs.select(F.col("__gold").alias("__x"))).distinct()
+    read = texts.where(F.col("__x").isNotNull()).withColumn("__read", _read_udf("__x"))
+    side = lambda n: read.select(F.col("__x").alias(n), F.col("__read.key").alias(f"{n}_key"), F.col("__read.readable").alias(f"{n}_ok"))
+    both = pairs.join(side("final_answer"), "final_answer").join(side("__gold"), "__gold", "left")
+    keyed = F.col("final_answer_key").isNotNull() & F.col("__gold_key").isNotNull()
+    known = (
+        F.when(~F.col("final_answer_ok"), "unparsed_answer")
+        .when(~F.coalesce("__gold_ok", F.lit(False)), "unsupported_gold")
+        .when(keyed, F.when(F.col("final_answer_key") == F.col("__gold_key"), "correct").otherwise("incorrect"))
+    )
+    both = both.select("__gold", "final_answer", known.alias("status"))
+    by_value = both.where(F.col("status").isNull()).withColumn("status", _compare_udf("__gold", "final_answer"))
+    graded = both.where(F.col("status").isNotNull()).unionByName(by_value)
+    graded = graded.select(F.col("__gold").alias("__g"), F.col("final_answer").alias("__f"), "status")
+    same = F.col("__gold").eqNullSafe(F.col("__g")) & (F.col("final_answer") == F.col("__f"))
+    status = F.coalesce("status", F.lit("no_final_answer"))
+    out = rows.join(graded, same, "left").withColumn("status", status).withColumn("correct", F.col("status") == "correct")
+    return out.select(*carried, *names)
+
+
 boxed_contents_udf = _column(boxed_contents, "string")
 boxed_whole_udf = _column(boxed_whole, "string")
 boxed_any_udf = _column(boxed_any, "string")

@@ -313,12 +313,12 @@ def question_composition(spark, sf_dir):
 SELECT o_orderkey, CASE WHEN a * d = b * c THEN 'correct' ELSE 'incorrect' END AS status, a * d = b * c AS correct, '\\boxed{\\frac{' || a || '}{' || b || '}}' AS final_answer, 'boxed' AS extraction FROM q""",
 )
 def math_grades(spark, sf_dir):
-    from gradus.functions.grading import grade_by_box_udf
+    from gradus.functions.grading import graded_by_box
 
     a, b, c, d = ((F.col(k) % m + 1).cast("string") for k, m in (("o_custkey", 9), ("o_orderkey", 4), ("o_custkey", 6), ("o_orderkey", 3)))
     response = F.concat(F.lit("REPONSE: \\boxed{\\frac{"), a, F.lit("}{"), b, F.lit("}}"))
-    graded = tables(spark, sf_dir, "orders").select("o_orderkey", grade_by_box_udf(F.concat(c, F.lit("/"), d), response).alias("g"))
-    return graded.select("o_orderkey", "g.status", "g.correct", "g.final_answer", "g.extraction")
+    answers = tables(spark, sf_dir, "orders").select("o_orderkey", F.concat(c, F.lit("/"), d).alias("expected"), response.alias("response"))
+    return graded_by_box(answers, "expected", "response").select("o_orderkey", "status", "correct", "final_answer", "extraction")
 
 
 @R.add(
