@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -25,3 +26,16 @@ def test_budgets_cover_sources_whose_doubles_are_coarse(spark):
     shares = spark.createDataFrame(rows, "source string, docs bigint, tokens bigint")
     plan = source_budgets(shares, Target(passes=1e12)).collect()
     assert len(plan) == 49 and all(r.budget >= r.tokens for r in plan)
+
+
+def test_clashing_columns_are_carried(spark, sf_dir):
+    """Columns named like those that operators use or return come out as they went in."""
+    names = ["score", "spans", "lines_total", "__row", "__s", "__block", "fp", "component_id", "extra", "th", "a.b"]
+    docs = documents(spark, sf_dir).limit(30)
+    more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, more, sf_dir)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert corpus_pipeline.STAGES[4][1](spark, more, sf_dir).count() == 30
