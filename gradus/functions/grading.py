@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradus.functions import braces
-from gradus.functions.expressions import canonical_key, equal_texts, read_values
+from gradus.functions.expressions import canonical_key, equal_texts, exact_value, read_values
 from gradus.functions.text import SPACE, strip
 
 # How final answers are announced, what a strict answer looks like, and how
@@ -33,7 +33,7 @@ _SOLVED = re.compile(r"x\s*=\s*(.+)", re.I)
 _CHOICE = re.compile(r"\(?\s*([A-E])\s*\)?[.]?", re.I)
 _FENCE = re.compile(r"```(?:python)?\s*(.*?)```", re.I | re.S)
 _FENCE_LINE = re.compile(r"```(?:python|py)?[ \t]*\n(.*?)```", re.I | re.S)
-_CODE_LINE = re.compile(r"\s*(?:(?:async\s+)?def\s|class\s|import\s|from\s|@)")
+_STATEMENTS = (("def",), ("async", "def"), ("class",), ("import",), ("from",))
 _STARTS = ("def ", "async def ", "import ", "from ", "@")
 SHORT_LINE = 128
 
@@ -202,6 +202,12 @@ def code_block(text: str | None) -> str:
     return text if at is None else "\n".join(rows[at:]).strip()
 
 
+def _begins_program(line: str) -> bool:
+    """Whether a line is a decorator or begins with the words of a definition or an import."""
+    words = tuple(line.split())
+    return bool(words) and (words[0].startswith("@") or any(words[: len(s)] == s for s in _STATEMENTS))
+
+
 def code_that_parses(text: str | None) -> str:
     """First fenced block, else all if it parses, else the longest tail from a code line that does."""
     raw = (text or "").strip()
@@ -211,7 +217,7 @@ def code_that_parses(text: str | None) -> str:
     if not raw or parses(raw):
         return raw
     rows = raw.splitlines()
-    tails = ("\n".join(rows[i:]).strip() for i, r in enumerate(rows) if _CODE_LINE.match(r))
+    tails = ("\n".join(rows[i:]).strip() for i, r in enumerate(rows) if _begins_program(r))
     return next(filter(parses, tails), raw)
 
 
@@ -387,6 +393,45 @@ code_that_parses_udf = _column(code_that_parses, "string")
 code_status_udf = _column(code_status, "string")
 casefold_fingerprint_udf = _column(casefold_fingerprint, "string")
 python_round_udf = _column(python_round, "double")
+
+
+@F.pandas_udf(T.StructType([T.StructField("setup", T.StringType()), T.StructField("tests", T.ArrayType(T.StringType())), T.StructField("problem", T.StringType())]))
+def normal_grading_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        yield pd.DataFrame([normal_grading(x) for x in s], columns=["setup", "tests", "problem"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("tests", T.LongType())]))
+def test_readiness_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of a domain and the tests as JSON."""
+    for domain, tests in batches:
+        yield pd.DataFrame([test_readiness(d, json.loads(t or "null")) for d, t in zip(domain, tests, strict=True)], columns=["status", "tests"])
+
+
+@F.pandas_udf(T.StringType())
+def rescue_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for candidate, expected in batches:
+        yield pd.Series([None if c is None else rescue(c, e) for c, e in zip(candidate, expected, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def exact_value_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The exact value of a plain calculation as text (``7/3``, ``-2``); anything else raises."""
+    for s in batches:
+        yield pd.Series([None if x is None else str(exact_value(x)) for x in s], dtype=object)
+
+
+def on_distinct(df: DataFrame, columns: list[str], function: Callable[..., Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the function of these columns, called once for each different combination of their values."""
+    each = df.select(*columns).distinct().withColumn(name, function(*columns))
+    renamed = each.select(*[F.col(c).alias(f"__{c}") for c in columns], name)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return df.drop(name).join(renamed, condition).drop(*[f"__{c}" for c in columns])
+
+
 _KEYS = "status string, correct boolean, format_ok boolean, final_answer string"
 grade_by_label_udf = _columns(grade_by_label, f"{_KEYS}, needs_review boolean")
 grade_by_box_udf = _columns(grade_by_box, f"{_KEYS}, extraction string")

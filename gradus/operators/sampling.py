@@ -11,7 +11,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from gradus.sources.scratch import scratch
 
 
 def digest(seed: int | str, key: Column) -> Column:
@@ -38,7 +39,7 @@ def numbered(df: DataFrame, bin_: Column, order: list, group: list[str], rank: s
         same = same & F.col(g).eqNullSafe(F.col(f"__{i}"))
     inside = F.row_number().over(Window.partitionBy(*group, "__bin").orderBy(*order))
     ranked = binned.withColumn("__inside", inside).join(renamed, same)
-    return ranked.select(*df.columns, (F.col("__inside") + F.col("__before")).cast("int").alias(rank))
+    return ranked.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(rank))
 
 
 def shuffled(
@@ -163,10 +164,19 @@ def exact_shuffle(ids: list, seed: int) -> list:
 
 
 def places(df: DataFrame, *keys: str, place: str = "place") -> DataFrame:
-    """Every row with its place, from 1, in the order of ``keys`` (which tell all rows apart).
+    """Every row with its place, from 1, in the order of ``keys`` (of rows with equal keys any order).
 
-    The sort is dealt by ranges of the whole key; rows are numbered inside their range, and
-    only the sizes of the ranges come to the driver, so no task sees all rows.
+    Rows are dealt by ranges of the whole key and written down with the number of their range; a range is numbered
+    by itself, and the sizes of the ranges before it are added, so no task sees all rows and none passes Python.
     """
-    numbered = df.orderBy(*keys).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(numbered, StructType([*df.schema.fields, StructField(place, LongType(), False)]))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "ranges")  # ranges are drawn anew by every run of a plan, so they are fixed by writing
+    df.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, "__row").withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__range", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys, "__row"))
+    ranked = ranged.withColumn("__inside", inside).join(F.broadcast(sizes), "__range")
+    return ranked.select(*df.columns, (F.col("__inside") + F.col("__before")).alias(place))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gradus.plans import curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, log_plans, selection_plans, star_plans
+from gradus.plans import artifact_plans, curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, log_plans, selection_plans, star_plans
 
-_MODULES = (curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, log_plans, selection_plans, star_plans)
+_MODULES = (artifact_plans, curriculum_plans, evaluation_plans, extraction_plans, integrity_plans, log_plans, selection_plans, star_plans)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -126,9 +126,18 @@ def limited(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def lineage(df: DataFrame, source: str, config: str, split: str) -> DataFrame:
-    """One row about a source: rows, and a fingerprint of its content that ignores the order."""
-    digest = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
-    return df.agg(F.count("*").alias("total_rows"), F.sum(digest.cast("decimal(38,0)")).cast("string").alias("fingerprint")).select(
+    """One row about a source: rows, and a fingerprint of its content that ignores the order of rows.
+
+    It is the sum of the first 15 hex digits of an MD5 of each row: of its columns as text, in the order of their names, each
+    with its length before it and ``-`` for null. Columns without a text (arrays, maps, structs) count as JSON.
+    """
+    parts = []
+    for name, kind in sorted(df.dtypes):
+        col = F.col(f"`{name}`")
+        text = F.to_json(F.struct(col)) if kind.startswith(("array", "map", "struct")) else col.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    digest = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("total_rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("fingerprint")).select(
         F.lit(source).alias("source"), F.lit(config).alias("config"), F.lit(split).alias("official_split"), "total_rows", "fingerprint"
     )
 
