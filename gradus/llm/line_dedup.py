@@ -8,8 +8,14 @@ must not lose its own lines for it.
 
 Counts cover all pages. Copies are counted out by a digest of the text (combined map-side,
 so a hot page is one row a task), lines are made distinct inside each page, and the rest is
-one map-side combined aggregation over (host, line digest): a hot host spreads over its many
-lines and a hot line is combined before the shuffle. Texts are not shuffled for the counts.
+one map-side combined aggregation over (host, line hash): a hot host spreads over its many
+lines and a hot line is combined before the shuffle. A page has one more line that stands for
+the page itself, so the pages of a host are counted in the same pass. Texts are read once for the counts and
+once to be cleaned, and are not shuffled for the counts.
+
+Lines are told by 64-bit hashes, inside their host: among a billion different lines of a host and a thousand of
+boilerplate, one line is taken for another with a chance of one in ten million. A page's lines meet the host's
+boilerplate as sets, so the work grows with the lines of both and not with their product.
 
 Defined results: a null text stays null and has no lines; lines are split at ``\\n`` and
 compared without surrounding spaces; blank lines are never dropped; a null host is a host
@@ -26,45 +32,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import documents
+from gradus.llm.common import documents, snapshot
 
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.01
 #: ... if it stands on this many of them at least.
 MIN_PAGES = 3
-#: Boilerplate lines are broadcast up to this many (about 40 bytes each); beyond it the
+#: Boilerplate lines are broadcast up to this many (about 20 bytes each); beyond it the
 #: pages meet them in a join on (host, salt).
 BROADCAST_LINES = 50_000
 SALTS = 64
 
 
-def _digest(line: Column) -> Column:
-    """Sixteen bytes that stand for a line."""
-    return F.unhex(F.md5(line))
+def _hash(line: Column) -> Column:
+    """A long that stands for a line, without the spaces around it."""
+    return F.xxhash64(F.btrim(line))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _keys(lines: Column) -> Column:
+    """Hashes of the lines that are not blank."""
+    return F.transform(F.filter(lines, lambda x: F.btrim(x) != ""), _hash)
+
+
+def _without(lines: Column, bad: Column) -> Column:
+    """The lines whose hashes are not among ``bad``; blank ones stay."""
+
+    def cut(found: Column) -> Column:
+        stays = lambda x: (F.btrim(x) == "") | ~F.array_contains(found, _hash(x))
+        return F.when(F.size(found) == 0, lines).otherwise(F.filter(lines, stays))
+
+    # what the page has of the host's boilerplate, found once for all its lines
+    return F.element_at(F.transform(F.array(F.array_intersect(_keys(lines), bad)), cut), 1)
+
+
 def boilerplate_lines(
     pages: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """(host, line digest, pages with the line, pages of the host) of every boilerplate line."""
-    lines = F.filter(F.transform(_lines(F.col("text")), lambda x: F.btrim(x)), lambda x: x != "")
-    keys = F.array_distinct(F.transform(lines, _digest))
+    """(host, line hash, pages with the line, pages of the host) of every boilerplate line."""
+    keys = F.array_distinct(_keys(_lines(F.col("text"))))
     rows = pages.select(host.alias("__host"), F.unhex(F.md5(F.col("text"))).alias("__page"), keys.alias("__keys"))
     rows = rows.groupBy("__host", "__page").agg(F.first("__keys").alias("__keys"))  # equal pages have equal keys
-    totals = rows.groupBy("__host").agg(F.count("*").alias("host_pages"))
+    none = F.array(F.lit(None).cast("bigint"))  # the page itself
     counts = (
-        rows.select("__host", F.explode("__keys").alias("__line"))
+        rows.select("__host", F.explode(F.concat(F.coalesce("__keys", F.array().cast("array<bigint>")), none)).alias("__line"))
         .groupBy("__host", "__line")
         .agg(F.count("*").alias("line_pages"))
-        .where(F.col("line_pages") >= min_pages)
+        .where(F.col("__line").isNull() | (F.col("line_pages") >= min_pages))
     )
+    counts = snapshot(counts, "line-counts")
+    totals = counts.where(F.col("__line").isNull()).select(F.col("__host").alias("__h"), F.col("line_pages").alias("host_pages"))
     same = F.col("__host").eqNullSafe(F.col("__h"))
     return (
-        counts.join(totals.withColumnRenamed("__host", "__h"), same)
+        counts.where(F.col("__line").isNotNull())
+        .join(totals, same)
         .where(F.col("line_pages") > ratio * F.col("host_pages"))
         .drop("__h")
     )
@@ -81,7 +105,7 @@ def drop_boilerplate(
     """``pages`` with cleaned ``text`` and the counts ``lines_total`` and ``lines_dropped``.
 
     The boilerplate of a host is at most (mean lines of its pages) / ratio lines, kept as
-    one array of digests per host. While all of it is at most ``broadcast_lines`` lines,
+    one array of hashes per host. While all of it is at most ``broadcast_lines`` lines,
     no text is shuffled; otherwise pages and salted copies of the arrays meet by
     (host, salt), so that a hot host is dealt to ``SALTS`` keys.
     """
@@ -97,14 +121,13 @@ def drop_boilerplate(
     same = F.col("__host").eqNullSafe(F.col("__h"))
     hosted = pages.select(*columns, "text", host.alias("__host"))
     if small:
-        joined = hosted.join(F.broadcast(bad), same, "left")  # at most ``broadcast_lines`` digests
+        joined = hosted.join(F.broadcast(bad), same, "left")  # at most ``broadcast_lines`` hashes
     else:
         bad = bad.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64(id_col, "text"), F.lit(SALTS)).cast("int")
         joined = hosted.withColumn("__salt", salt).join(bad, same & (F.col("__salt") == F.col("__s")), "left")
     lines = _lines(F.col("text"))
-    stays = lambda x: (F.btrim(x) == "") | ~F.array_contains("__bad", _digest(F.btrim(x)))
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, stays))
+    kept = F.when(F.col("__bad").isNull(), lines).otherwise(_without(lines, F.col("__bad")))
     out = joined.withColumn("__kept", kept)
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__kept", "\n"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
