@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.numeric import percent, sample_std
+from gradus.operators.sampling import id_bin, numbered
 
 
 def count_true(x: Column) -> Column:
@@ -85,6 +86,12 @@ def error_analysis(df: DataFrame, keys: list[str], correct: Column, item: Column
     )
 
 
+def failures(df: DataFrame, keys: list[str], correct: Column, item: str) -> DataFrame:
+    """The failures of each class of exercises, numbered from 1 in the order of an integer ``item``, one a row."""
+    rows = df.where(~correct).select(*keys, item)
+    return numbered(rows, id_bin(item), [F.col(item)], keys, "nr")
+
+
 def mean_std(df: DataFrame, group: list[str], values: list[str], runs: int | None = None) -> DataFrame:
     """Mean and sample deviation over runs; a deviation of a single run is 0.
 

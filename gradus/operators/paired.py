@@ -69,6 +69,12 @@ def bootstrap_ci(pairs: DataFrame, group: str, difference: str, order: str, repl
     )
 
 
+def changes(pairs: DataFrame, before: Column, after: Column, domain: str, id_col: str) -> DataFrame:
+    """(domain, id, change): the questions that were ``gained`` or ``lost``, one a row, however many they are."""
+    change = F.when(~before & after, "gained").when(before & ~after, "lost")
+    return pairs.select(domain, id_col, change.alias("change")).where(F.col("change").isNotNull())
+
+
 #: Random bits of a digest that are used (fifteen hex digits), and of how many digests a half is made.
 _BITS, _DIGESTS = 60, 20
 #: Binary digits of a probability; a draw is undecided after them with chance 2 ** -48.

@@ -8,8 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gradus.functions import extraction, grading, text
-from gradus.operators import constraints, sampling
+from gradus.operators import aggregates, constraints, paired, sampling
 from gradus.plans.base import Registry, tables
+from gradus.plans.evaluation_plans import graded
 from gradus.plans.selection_plans import _MIX, replay_mix
 from gradus.schemas import SUMMARY
 from gradus.sources import scans, sinks
@@ -47,6 +48,23 @@ def log_rewritten(spark, sf_dir):
     return scans.json_lines(spark, f"{path}/backup", schema).select("event_id").join(kept, "event_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+@R.add("csv_by_blocks", "SELECT conv_id, turn, role, 'said \"' || role || '\",' || chr(10) || text AS text FROM conversations")
+def csv_by_blocks(spark, sf_dir):
+    """Cells with quotes, commas and line feeds, in files that many tasks read: blocks of a few kilobytes here."""
+    path = scratch(spark, "blocks")
+    c = tables(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit('said "'), "role", F.lit('",\n'), "text").alias("text"))
+    c.write.option("header", True).option("escape", '"').csv(path)
+    name, block = "spark.sql.files.maxPartitionBytes", str(16 << 10)
+    before = spark.conf.get(name)
+    spark.conf.set(name, block)
+    try:
+        scanned = scans.csv_table(spark, path, "conv_id bigint, turn int, role string, text string", split=True)
+        scanned.write.parquet(f"{path}-read")  # planned and read with these blocks
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{path}-read")
+
+
 _STRATEGIES = ("no_replay", "fixed_replay", "adaptive_replay")
 
 
@@ -257,3 +275,43 @@ _PROMPT = {"system": "You grade answers.", "style": "short"}
 @R.add("prompts", f"SELECT conv_id, turn, '{json.dumps(_PROMPT)}' || chr(10) || chr(10) || text AS prompt FROM conversations")
 def prompts(spark, sf_dir):
     return tables(spark, sf_dir, "conversations").select("conv_id", "turn", text.prompt(json.dumps(_PROMPT), F.col("text")).alias("prompt"))
+
+
+@R.add("changed_rows", """SELECT d.lang AS domain, doc_id, CASE WHEN quality = 1 THEN 'lost' ELSE 'gained' END AS change FROM documents d JOIN labels l USING (doc_id) WHERE (quality = 1) <> (toxic = 0)""")
+def changed_rows(spark, sf_dir):
+    """Questions that one of two runs has right and the other wrong, a row each."""
+    return paired.changes(graded(spark, sf_dir), F.col("before"), F.col("after"), "domain", "doc_id")
+
+
+@R.add(
+    "failed_rows",
+    """SELECT lang AS domain, source AS subtype, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nr FROM documents JOIN labels USING (doc_id) WHERE quality <> 1""",
+)
+def failed_rows(spark, sf_dir):
+    """Failures of every class of exercises, numbered, a row each."""
+    return aggregates.failures(graded(spark, sf_dir), ["domain", "subtype"], F.col("before"), "doc_id")
+
+
+@R.add("literal_expectations", "SELECT lang, n, least_rows, n >= least_rows AS enough FROM (VALUES ('en', 100), ('fr', 1000000), ('de', 1)) v(lang, least_rows) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) USING (lang)")
+def literal_expectations(spark, sf_dir):
+    """A table written in code, held against counts of a given one."""
+    expected = scans.literal_table(spark, [("en", 100), ("fr", 1_000_000), ("de", 1)], "lang string, least_rows bigint")
+    counts = tables(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(expected), "lang").select("lang", "n", "least_rows", (F.col("n") >= F.col("least_rows")).alias("enough"))
+
+
+@R.add("registered_graders", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ready' ELSE 'syntax_error' END AS status, '\\boxed{' || turn || '}' AS boxed FROM conversations")
+def registered_graders(spark, sf_dir):
+    """Graders called by name from SQL text."""
+    grading.register(spark)
+    turn = F.col("turn").cast("string")
+    code = F.concat(F.lit("x = "), F.when(F.col("turn") % 2 == 0, turn).otherwise("("))
+    answer = F.concat(F.lit("so \\boxed{"), turn, F.lit("} \\boxed{"))
+    tables(spark, sf_dir, "conversations").select("conv_id", "turn", code.alias("code"), answer.alias("answer")).createOrReplaceTempView("gradus_answers")
+    return spark.sql("SELECT conv_id, turn, code_status(code) AS status, last_boxed(answer) AS boxed FROM gradus_answers")
+
+
+@R.add("markdown_report", "SELECT '| lang | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || coalesce(lang, '') || ' | ' || n || ' |', chr(10) ORDER BY lang) AS report FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def markdown_report(spark, sf_dir):
+    counts = tables(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
+    return spark.createDataFrame([(sinks.markdown_table(counts),)], "report string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.operators.constraints import require_unique
+from gradus.sources.csv_blocks import csv_records
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, unique_id: str | None = None) -> DataFrame:
@@ -63,13 +64,15 @@ def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([record.removeprefix("\ufeff")], strict=True), []))
 
 
-def csv_table(spark: SparkSession, path: str | list[str], schema: str, header: bool = True) -> DataFrame:
+def csv_table(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, split: bool = False) -> DataFrame:
     """CSV with quoted cells over several lines; columns are taken by their names in the header.
 
     Every file may have its columns in an order of its own, and further columns, which are not
     read into the result. A file without a column of the schema raises, as does a cell that its
     type can't hold. The first record of each file is read by the driver; files with the same
     header are one scan. Without a header, columns are taken by position.
+
+    With ``split`` (and a header) large files are read by many tasks, see ``csv_blocks``; without it a file is one task.
     """
     reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
     paths = [path] if isinstance(path, str) else list(path)
@@ -89,7 +92,12 @@ def csv_table(spark: SparkSession, path: str | list[str], schema: str, header: b
     for names, files in by_header.items():
         kinds = {f.name: f.dataType for f in wanted}
         own = StructType([StructField(n if n in kinds else f"__{i}", kinds.get(n, StringType())) for i, n in enumerate(names)])
-        rows = reader.schema(own).option("header", True).option("enforceSchema", True).csv(files)
+        if split:
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+            options = {"mode": "FAILFAST", "quote": '"', "escape": '"'}
+            rows = csv_records(spark, files).select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+        else:
+            rows = reader.schema(own).option("header", True).option("enforceSchema", True).csv(files)
         part = rows.select(*wanted.names)
         out = part if len(by_header) == 1 else out.unionByName(part)
     return out
