@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 #: Entries, and characters of their pieces, of each of the two generations that a table holds.
 ENTRIES = 250_000
@@ -80,7 +81,7 @@ class PieceTable:
         for p in stopped:
             young[p] = young[p[:-1]] + stops[p[-1]]
         values = [[young[p] for p in s] for s in split]
-        for p in list(young)[before:]:  # what this batch added
+        for p in list(islice(reversed(young), len(young) - before)):  # what this batch added
             if len(p) > LONG:
                 del young[p]
             else:
