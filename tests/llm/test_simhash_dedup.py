@@ -89,3 +89,36 @@ def test_nulls_repeats_and_clashing_columns(spark):
         (0, "q r s t u"), (2, "only one other text"), (4, ""), (7, "a b c d")]
     assert near_classes(docs.limit(0)).collect() == []
     assert drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("hot", "edges"), [(4096, 256), (3, 2), (1, 1)])
+def test_components_with_hot_centres(spark, monkeypatch, hot, edges):
+    from gradus.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", hot)
+    monkeypatch.setattr(module, "HOT_EDGES", edges)
+    rng = random.Random(hot)
+    links = [(500, rng.randrange(1000, 1400)) for _ in range(600)] + [(7, i) for i in range(2000, 2100)]  # stars
+    links += [(i, i + 1) for i in range(3000, 3060)] + [(rng.randrange(4000, 4400), rng.randrange(4000, 4400)) for _ in range(150)] + [(9, 9)]
+    keys = sorted({x for p in links for x in p})
+    got = {r.vertex: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {k: r for k, r in roots(keys, links).items() if k != 9}
+
+
+def test_edges_of_a_hot_centre_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from gradus.llm.components import _with_least
+
+    arcs = spark.range(1, 20_000).select(F.floor(F.col("id") / 10**6).alias("u"), F.col("id").alias("v"))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined, _ = _with_least(arcs)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("__m")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) >= 12 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
