@@ -19,7 +19,8 @@ def digest(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-#: Bins of a permutation: rows of a group and bin are numbered in one task.
+#: Hex digits that tell the bins of a permutation: rows of a group and bin are numbered in one task, so 4096 bins
+#: are meant for groups of up to some ten billion rows, and one more digit for sixteen times as many.
 HEX_DIGITS = 3
 
 
@@ -43,20 +44,19 @@ def numbered(df: DataFrame, bin_: Column, order: list, group: list[str], rank: s
 
 
 def shuffled(
-    df: DataFrame, key: str, seed: int | str, group: list[str] | None = None, rank: str = "rank", limit: int | None = None
+    df: DataFrame, key: str, seed: int | str, group: list[str] | None = None, rank: str = "rank", limit: int | None = None, digits: int = HEX_DIGITS
 ) -> DataFrame:
     """Adds the place of each row in its group's permutation, from 1.
 
     With ``limit`` only that many rows of each group are kept; groups are cut to them before the
-    shuffle. Without it the permutation is numbered bin by bin.
+    shuffle. Without it the permutation is numbered bin by bin, also where all rows are one group.
     """
     place = digest(seed, F.col(key))
-    if limit is not None or not group:
+    if limit is not None:
         w = Window.partitionBy(*(group or [])).orderBy(place, key)
-        ranked = df.withColumn(rank, F.row_number().over(w))
-        return ranked if limit is None else ranked.where(F.col(rank) <= limit)
-    bin_ = F.conv(F.substring(place, 1, HEX_DIGITS), 16, 10).cast("int")
-    return numbered(df, bin_, [place, F.col(key)], group, rank)
+        return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
+    bin_ = F.conv(F.substring(place, 1, digits), 16, 10).cast("int")
+    return numbered(df, bin_, [place, F.col(key)], group or [], rank)
 
 
 def id_bin(key: str, rows: int = 65_536) -> Column:

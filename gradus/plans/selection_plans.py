@@ -24,6 +24,12 @@ def hash_shuffle(spark, sf_dir):
     return sampling.shuffled(tables(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 42, ["lang"])
 
 
+@R.add("whole_shuffle", f"SELECT doc_id, {_rank('43')} AS rank FROM documents")
+def whole_shuffle(spark, sf_dir):
+    """One permutation of all documents; no task sorts more than a bin."""
+    return sampling.shuffled(tables(spark, sf_dir, "documents").select("doc_id"), "doc_id", 43)
+
+
 @R.add("rank_split", f"""SELECT doc_id, lang, CASE WHEN r <= 20 THEN 'train' WHEN r <= 30 THEN 'validation' ELSE 'test' END AS partition
 FROM (SELECT doc_id, lang, {_rank('42', 'lang')} AS r FROM documents) WHERE r <= 45""")
 def rank_split(spark, sf_dir):
