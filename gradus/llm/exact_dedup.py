@@ -1,8 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Length and prefix hash cost one pass over the texts. Only rows whose length *and*
-prefix are shared go on to the full hash, which is made where the text lies; a text is
-never shuffled, rows travel as keys of a few bytes.
+Lengths are counted first, map-side, and those that several rows have are sent to all tasks: a row whose
+length no other has is done, nothing of its text is hashed. Of the others the prefix is hashed, and only rows
+that share length *and* prefix go on to the full hash, which is made where the text lies; a text is
+never shuffled, rows travel as keys of a few bytes. Texts of ``LONGEST`` bytes and more skip the first level, which
+so has ``LONGEST`` lengths at most.
 
 Which keys are shared is told by a bit map over hashes of (length, prefix), built map-side
 and sent to all tasks. It has ``BITS_A_ROW`` bits for each row, ``MAX_BITS`` (32 MB) at
@@ -38,6 +40,9 @@ MAX_BITS = 1 << 28
 HOT_GROUPS = 4096
 HOT_ROWS = 64
 
+#: Lengths from here on all count as shared.
+LONGEST = 1 << 20
+
 _WORD = 1 << 15  # bits that Spark's bitmap functions put in one row
 
 
@@ -72,17 +77,19 @@ def _has_bit(bits: int) -> Column:
 
 
 def candidates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` without its text, with ``__len``, ``__pre`` and the full hash of rows that share both."""
-    keyed = docs.withColumns(
-        {"__len": F.octet_length(_norm()), "__pre": F.xxhash64(F.substring(_norm(), 1, prefix_chars))}
-    )
+    """``docs`` without its text, with ``__len``, ``__pre`` of rows that share it, and the full hash of rows that share both."""
+    sized = docs.withColumn("__len", F.octet_length(F.coalesce(F.col("text"), F.lit(""))))  # lower case has the same
+    lengths = sized.where(F.col("__len") < LONGEST).groupBy(F.col("__len").alias("__l")).agg(F.count("*").alias("__n")).where("__n > 1")
+    marked = sized.join(F.broadcast(lengths.select("__l")), F.col("__len") == F.col("__l"), "left")  # LONGEST rows at most
+    shared = F.col("__l").isNotNull() | (F.col("__len") >= LONGEST)
+    keyed = marked.withColumn("__pre", F.when(shared, F.xxhash64(F.substring(_norm(), 1, prefix_chars)))).drop("__l")
     wanted, bits = min(max_bits, BITS_A_ROW * docs.count()), _WORD
     while bits < wanted:
         bits *= 2
-    bitmap = _shared_keys(keyed, bits)
+    bitmap = _shared_keys(keyed.where(F.col("__pre").isNotNull()), bits)
     # at most ``max_bits`` / 8 bytes
     rows = keyed.join(F.broadcast(bitmap), F.floor(_bit(bits) / _WORD) == F.col("__at"), "left")
-    return rows.withColumn("__full", F.when(_has_bit(bits), _full_hash())).drop("text", "__at", "__map")
+    return rows.withColumn("__full", F.when(F.col("__pre").isNotNull() & _has_bit(bits), _full_hash())).drop("text", "__at", "__map")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", prefix_chars: int = PREFIX_CHARS, max_bits: int = MAX_BITS) -> DataFrame:

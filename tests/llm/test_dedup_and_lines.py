@@ -37,6 +37,19 @@ def test_rows_outside_shared_keys_get_no_full_hash(spark):
         assert tuple(got) == (n // 2 + n // 4, 2, n // 2)
 
 
+def test_rows_without_a_shared_length_are_not_hashed(spark, monkeypatch):
+    """At any size of the map: not even their prefix."""
+    rows = [(i, "x" * i) for i in range(300)] + [(1000 + i, "pair" + "y" * 400 + str(i // 2 % 5)) for i in range(20)] + [(2000, None), (2001, "X")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bits in (1 << 15, 1 << 28):
+        got = {r.doc_id: r for r in candidates(docs, max_bits=bits).collect()}
+        assert {i for i, r in got.items() if r["__pre"] is not None} == {*range(1000, 1020), 0, 1, 2000, 2001}
+        assert all(r["__full"] is None for i, r in got.items() if 1 < i < 1000)
+    monkeypatch.setattr(module, "LONGEST", 100)  # longer texts all go on
+    assert candidates(docs).where("__pre is null and __len < 100").count() == 98
+    assert exact_dedup(docs).where("group_size > 1").count() == 24
+
+
 def test_line_dedup_is_relative_to_the_host(spark):
     rows = [(i, "big", f"menu \nbody {i}\n\nend {i % 7}") for i in range(40)] + [(100 + i, None, f"menu\nother {i}") for i in range(25)]
     rows += [(200, "small", "menu\nx"), (201, "small", "menu\ny"), (202, "big", None), (203, "big", ""), (204, "big", "menu")]
