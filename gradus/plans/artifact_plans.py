@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gradus.functions import extraction, grading, text
-from gradus.operators import aggregates, constraints, paired, sampling
+from gradus.operators import aggregates, constraints, generation, joins, paired, sampling
 from gradus.plans.base import Registry, tables
 from gradus.plans.evaluation_plans import graded
 from gradus.plans.selection_plans import _MIX, replay_mix
@@ -315,3 +315,50 @@ def registered_graders(spark, sf_dir):
 def markdown_report(spark, sf_dir):
     counts = tables(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")
     return spark.createDataFrame([(sinks.markdown_table(counts),)], "report string")
+
+
+# -- questions and checkpoints made from given rows
+
+_N = "(('0x' || substr(md5('q|' || event_id), {at}, 3))::BIGINT % {size} + {low})"
+_A, _B, _C, _X = (_N.format(at=1 + 3 * i, size=high - low + 1, low=low) for i, low, high in ((1, 2, 40), (2, 2, 30), (3, 2, 12), (4, 1, 25)))
+
+
+@R.add(
+    "generated_questions",
+    f"""WITH t AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'maths' WHEN event_type = 'purchase' THEN 'code' ELSE 'algebra' END AS domain,
+  {_N.format(at=1, size=5, low=0)} AS k5, {_N.format(at=1, size=4, low=0)} AS k4, {_A} AS a, {_B} AS b, {_C} AS c, {_X} AS x FROM events),
+q AS (SELECT event_id, domain,
+  CASE domain WHEN 'maths' THEN 'Calculate ' || CASE k5 WHEN 0 THEN a || ' + ' || b WHEN 1 THEN a || ' - ' || b WHEN 2 THEN a || ' * ' || c WHEN 3 THEN '(' || a || ' + ' || b || ') * ' || c ELSE a || ' * ' || c || ' - ' || b END
+  WHEN 'algebra' THEN 'Solve ' || CASE k4 WHEN 0 THEN c || 'x + ' || b || ' = ' || (c * x + b) WHEN 1 THEN c || 'x - ' || b || ' = ' || (c * x - b) WHEN 2 THEN c || '(x + ' || b || ') = ' || (c * (x + b)) ELSE 'x/' || c || ' + ' || b || ' = ' || (x + b) END
+  ELSE 'What is ' || CASE k5 WHEN 0 THEN a || ' // ' || c WHEN 1 THEN a || ' % ' || c WHEN 2 THEN c || ' ** 2' WHEN 3 THEN a || ' // ' || c || ' + ' || b ELSE a || ' % ' || c || ' * ' || b END || '?' END AS question,
+  CASE domain WHEN 'maths' THEN CASE k5 WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * c WHEN 3 THEN (a + b) * c ELSE a * c - b END
+  WHEN 'algebra' THEN CASE WHEN k4 < 3 THEN x ELSE x * c END
+  ELSE CASE k5 WHEN 0 THEN a // c WHEN 1 THEN a % c WHEN 2 THEN c * c WHEN 3 THEN a // c + b ELSE a % c * b END END AS answer FROM t),
+f AS (SELECT domain, question, min(event_id) AS seed, arg_min(answer, event_id) AS answer FROM q GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seed) AS nr FROM f)
+SELECT domain, question, answer, seed, nr, max(nr) OVER (PARTITION BY domain) = 120 AS complete FROM r WHERE nr <= 120""",
+)
+def generated_questions(spark, sf_dir):
+    """120 different questions of each domain, from as many attempts as there are events."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "maths").when(F.col("event_type") == "purchase", "code").otherwise("algebra")
+    attempts = tables(spark, sf_dir, "events").select(kind.alias("domain"), F.col("event_id").alias("seed"))
+    question, answer = generation.questions(F.md5(F.concat(F.lit("q|"), F.col("seed").cast("string"))), F.col("domain"))
+    made = attempts.withColumns({"question": question, "answer": answer})
+    return generation.first_different(made, "domain", "question", "seed", 120).select("domain", "question", "answer", "seed", "nr", "complete")
+
+
+@R.add(
+    "checkpoint_cells",
+    f"""WITH e AS (SELECT ['{"', '".join(_STRATEGIES)}'][user_id % 3 + 1] AS strategy, least(3, (day(ts) - 1) // 8) AS stage, value FROM events WHERE event_type = 'signup'),
+g AS (SELECT DISTINCT strategy, unnest(range(5))::INT AS stage FROM e)
+SELECT strategy, g.stage, count(value) AS events, count(*) FILTER (WHERE value > 50) AS correct FROM g LEFT JOIN e USING (strategy, stage) GROUP BY 1, 2""",
+)
+def checkpoint_cells(spark, sf_dir):
+    """Every strategy that the table has at every stage of the curriculum, with what the table has of it; one stage has nothing."""
+    strategy = F.element_at(F.array(*[F.lit(s) for s in _STRATEGIES]), (F.col("user_id") % 3 + 1).cast("int"))
+    stage = F.least(F.lit(3), F.floor((F.dayofmonth("ts") - 1) / 8)).cast("int")
+    e = tables(spark, sf_dir, "events").where("event_type = 'signup'").select(strategy.alias("strategy"), stage.alias("stage"), "value")
+    counts = e.groupBy("strategy", "stage").agg(F.count("value").alias("events"), F.count_if(F.col("value") > 50).alias("correct"))
+    grid = joins.checkpoint_grid(counts.select("strategy").distinct(), scans.literal_table(spark, [(i,) for i in range(5)], "stage int"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return grid.join(counts, ["strategy", "stage"], "left").select("strategy", "stage", zero("events"), zero("correct"))
