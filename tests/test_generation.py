@@ -18,7 +18,7 @@ def test_answers_are_right(spark, sf_dir):
             assert eval(left, {"x": r.answer}) == int(right)
         else:
             assert eval(r.question.removeprefix("Calculate ").removeprefix("What is ").rstrip("?")) == r.answer
-        forms.add((r.domain, re.sub(r"\d+", "0", r.question)))
+        forms.add((r.domain, re.sub(r"\d+", "0", r.question.replace("= -", "= "))))
     assert len(forms) == 14  # every template occurs
     assert sorted(r.nr for r in rows if r.domain == "code") == list(range(1, 121))
 
