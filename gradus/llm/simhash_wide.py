@@ -9,8 +9,11 @@ and the differing bits of the whole are compared. What passes is a candidate: pa
 pass in more than nine of ten cases, more similar ones almost always, but so do many pairs of less.
 
 Candidates are verified: the sets of shingle hashes of two texts must have a similarity of ``SIMILARITY`` or more.
-That is done in two rounds. The first one takes the two closest candidates of every fingerprint; the second one those
-that still connect different classes. Candidates inside a class would change nothing.
+The first round takes the two closest candidates of every fingerprint; the second one those that still connect
+different classes. Candidates inside a class would change nothing. Families of which only a tree was a candidate are
+then compared once more, rows of different classes only: what a sketch of the sets does not rule out for certain is
+verified, first one pair to connect two classes, then all pairs that still lie between classes. So every pair that
+shares a bucket within the bits is verified or ends inside a class.
 
 Scale:
 
@@ -19,8 +22,11 @@ Scale:
   segment of b bits gives buckets of about distinct fingerprints / 2**(b-1) rows, so it grows with them, and
   more segments make up for it;
 * buckets are compared inside the task as the sorted rows pass by. Of up to ``ALL`` rows every pair within the bits is
-  emitted, in the first bucket only that the pair shares; of more rows two spanning forests, one of close
-  pairs and one of all, are emitted;
+  emitted, in the first bucket only that the pair shares; more rows are told apart into families that pairs within the
+  bits connect. Families of up to ``ALL`` rows give every pair; larger ones a spanning tree, of close pairs
+  as far as they reach, and their rows, which are compared again when their classes are known;
+* a sketch holds the parity of a set's hashes in ``SKETCH`` places. Sets differ in at least as many hashes as their
+  sketches differ in bits, so no pair of enough similarity is ruled out; of texts of many thousand words less is ruled out;
 * a bucket of more than ``bucket_limit`` rows is dealt out again: its rows fall into chunks,
   and each pair of chunks is compared in a task of its own. No pair is left out;
 * shingles are made again for texts with candidates only, one text for each fingerprint.
@@ -55,6 +61,8 @@ SEGMENT_BITS = ((1 << 26, 17), (1 << 31, 20), (1 << 62, 24))
 #: Rows of a bucket of which all pairs within the bits are emitted, rows compared as one matrix, and
 #: rows that a task compares at all.
 SMALL, ALL, MATRIX, BUCKET_LIMIT = 8, 64, 256, 1 << 15
+#: Bits of a sketch.
+SKETCH = 2048
 
 
 def differing(similarity: float) -> float:
@@ -207,10 +215,29 @@ def bucket_forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def _families(rows: int, links: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows that ``links`` connect, for each family of two rows or more."""
+    parent = list(range(rows))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in links.tolist():
+        parent[find(x)] = find(y)
+    linked = np.unique(links)
+    names = np.asarray([find(x) for x in linked.tolist()], np.int64)
+    order = np.argsort(names, kind="stable")
+    return np.split(linked[order], np.flatnonzero(np.diff(names[order])) + 1) if len(linked) else []
+
+
 def _verify(limit: int, max_bits: int, close_bits: int, shape: Shape, pairs: bool):
-    """Walks rows (key, f0, ...) sorted by key: links of buckets, and rows of buckets over the limit.
+    """Walks rows (key, f0, ...) sorted by key: links of buckets, rows of families that only a tree spans, and rows of
+    buckets over the limit.
 
-    ``pairs``: keys are those of the index, and small buckets give all their pairs.
+    ``pairs``: keys are those of the index, so that a pair is emitted in the first bucket only that it shares.
     """
 
     def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -275,18 +302,25 @@ def _verify(limit: int, max_bits: int, close_bits: int, shape: Shape, pairs: boo
                     i, j = np.triu_indices(size, 1)
                     add(i + start, j + start)
                     continue
-                part = fps[start : start + size]
-                for bits in (close_bits, max_bits):
-                    found = np.asarray(bucket_forest(part, bits), np.int64).reshape(-1, 2)
+                bucket = fps[start : start + size]
+                for family in _families(size, np.asarray(bucket_forest(bucket, max_bits), np.int64).reshape(-1, 2)):
+                    if len(family) <= ALL:
+                        i, j = np.triu_indices(len(family), 1)
+                        add(family[i] + start, family[j] + start)
+                        continue
+                    part = bucket[family]
+                    found = np.asarray([*bucket_forest(part, close_bits), *bucket_forest(part, max_bits)], np.int64)
+                    found = np.asarray(_forest(part, found[:, 0], found[:, 1]), np.int64)  # close pairs first
                     left.append(part[found[:, 0]])
                     right.append(part[found[:, 1]])
+                    yield _links_out(part, None, np.full(len(part), keys[start]), shape, True)
             if left:
                 yield _links_out(np.concatenate(left), np.concatenate(right), None, shape)
 
     return run
 
 
-def _links_out(a: np.ndarray, b: np.ndarray | None, keys: np.ndarray | None, shape: Shape) -> pa.RecordBatch:
+def _links_out(a: np.ndarray, b: np.ndarray | None, keys: np.ndarray | None, shape: Shape, spanned: bool = False) -> pa.RecordBatch:
     n = len(a)
     return pa.RecordBatch.from_arrays(
         [
@@ -294,22 +328,30 @@ def _links_out(a: np.ndarray, b: np.ndarray | None, keys: np.ndarray | None, sha
             pa.nulls(n, pa.binary()) if b is None else _as_bytes(b),
             pa.nulls(n, pa.int32()) if b is None else pa.array(_differ(a, b).astype(np.int32)),
             pa.nulls(n, pa.int64()) if keys is None else pa.array(keys),
-            *[pa.array(a[:, i].view(np.int64)) if b is None else pa.nulls(n, pa.int64()) for i in range(shape.lanes)],
+            pa.array(np.full(n, spanned)),
+            *[pa.array(np.ascontiguousarray(a[:, i]).view(np.int64)) if b is None else pa.nulls(n, pa.int64()) for i in range(shape.lanes)],
         ],
-        names=["a", "b", "bits", "key", *shape.names],
+        names=["a", "b", "bits", "key", "spanned", *shape.names],
     )
 
 
 def similar_links(distinct: DataFrame, shape: Shape, max_bits: int, close_bits: int, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Candidates (a, b, bits) between distinct fingerprints (fp, f0, ...), a below b; both are fingerprints as bytes."""
-    out = "a binary, b binary, bits int, key bigint, " + ", ".join(f"{n} bigint" for n in shape.names)
+    return _candidates(distinct, shape, max_bits, close_bits, bucket_limit)[0]
+
+
+def _candidates(distinct: DataFrame, shape: Shape, max_bits: int, close_bits: int, bucket_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and (key, fp, f0, ...) of families whose candidates only span them: rows of a key belong together."""
+    out = "a binary, b binary, bits int, key bigint, spanned boolean, " + ", ".join(f"{n} bigint" for n in shape.names)
     dealt = _index(distinct, shape).repartition("key").sortWithinPartitions("key")
     got = snapshot(dealt.mapInArrow(_verify(bucket_limit, max_bits, close_bits, shape, True), out), "wide-links")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits"]
     links = got.where(F.col("b").isNotNull()).select(*pair)
-    over = got.where(F.col("b").isNull()).select("key", *shape.names)
+    crowd = ["key", F.col("a").alias("fp"), *shape.names]
+    crowds = got.where("spanned").select(*crowd)
+    over = got.where(F.col("b").isNull() & ~F.col("spanned")).select("key", *shape.names)
     if over.isEmpty():
-        return links.distinct()
+        return links.distinct(), crowds
     # Chunks of about half the limit; every pair of chunks of a bucket meets in one place.
     sizes = over.groupBy("key").agg(F.ceil(F.count("*") / (bucket_limit / 2)).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64(*shape.names), F.col("chunks")).cast("int")
@@ -318,28 +360,84 @@ def similar_links(distinct: DataFrame, shape: Shape, max_bits: int, close_bits:
     place = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     rows = rows.select(place.alias("key"), *shape.names).repartition("key").sortWithinPartitions("key")
     more = snapshot(rows.mapInArrow(_verify(1 << 62, max_bits, close_bits, shape, False), out), "wide-links-over")
-    return links.unionByName(more.select(*pair)).distinct()
+    return links.unionByName(more.where(F.col("b").isNotNull()).select(*pair)).distinct(), crowds.unionByName(more.where("spanned").select(*crowd))
 
 
 # -- verification
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, wanted: DataFrame, width: int, seed: int) -> DataFrame:
-    """(fp, shingles): the different shingle hashes of one text for each of the ``wanted`` (fp, id, th)."""
+    """(fp, shingles, sketch): the different shingle hashes of one text for each of the ``wanted`` (fp, id, th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             sets = [np.unique(shingle_hashes([t], width, seed)[0]).view(np.int64) for t in batch.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), lists, _as_bytes(_sketches(sets))], names=["fp", "shingles", "sketch"])
         release()
 
     keys = wanted.select("fp", F.col("id").alias("__id"), F.col("th").alias("__th"))
     rows = docs.select(F.col(id_col).alias("__key"), F.xxhash64("text").alias("th"), "text")
     # rows that repeat an id and text are left out before shingles are made
     found = rows.join(keys, (F.col("th") == F.col("__th")) & F.col("__key").eqNullSafe(F.col("__id"))).select("fp", "text").dropDuplicates(["fp"])
-    return map_batches(found, run, "fp binary, shingles array<bigint>")
+    return map_batches(found, run, "fp binary, shingles array<bigint>, sketch binary")
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets x words of 64 bits: whether an odd number of a set's hashes falls to a place."""
+    odd = np.zeros((len(sets), SKETCH), np.uint8)
+    for row, hashes in zip(odd, sets, strict=True):
+        row[:] = np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<u8").reshape(len(sets), SKETCH // 64)
+
+
+def _between(max_bits: int, similarity: float, shape: Shape, span: bool):
+    """Walks rows (key, fp, f0, ..., root, n, sketch) sorted by key: pairs (a, b) of rows of one key and different
+    roots that may be similar; ``span``: only so many as connect the roots."""
+    share = (1 - similarity) / (1 + similarity)  # of the sizes of two sets: the hashes that they may differ in
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            keys = rest.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist()]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield rest.slice(start, end - start)
+            rest = rest.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches):
+            _, roots, members = np.unique(np.asarray(rows.column("root").to_pylist(), object), return_inverse=True, return_counts=True)
+            if len(members) == 1:
+                continue
+            fps = np.stack([rows.column(n).to_numpy().view(np.uint64) for n in shape.names], axis=1)
+            sizes = rows.column("n").to_numpy().astype(np.int64)
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u8").reshape(len(fps), -1)
+            most = int(members.argmax())  # rows of the largest class are not compared with each other
+            joined: list[np.ndarray] = []
+            for x in np.flatnonzero(roots != most).tolist():
+                near = (roots != roots[x]) & (_differ(fps, fps[x][None]) <= max_bits)
+                near[:x] &= roots[:x] == most
+                y = np.flatnonzero(near)
+                y = y[np.minimum(sizes[y], sizes[x]) + 1e-9 >= similarity * np.maximum(sizes[y], sizes[x])]
+                y = y[_differ(sketches[y], sketches[x][None]) <= share * (sizes[y] + sizes[x]) + 1e-6]
+                if not len(y):
+                    continue
+                if span:  # one row of each root, and the roots are one from here on
+                    y = y[np.unique(roots[y], return_index=True)[1]]
+                    one = [roots[x], *roots[y]]
+                    roots = np.where(np.isin(roots, one), most if most in one else roots[x], roots)
+                joined.append(np.stack([np.full(len(y), x), y]))
+            if joined:
+                i, j = np.concatenate(joined, axis=1)
+                yield pa.RecordBatch.from_arrays([_as_bytes(fps[i]), _as_bytes(fps[j])], names=["a", "b"])
+
+    return run
 
 
 def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -367,7 +465,9 @@ def similar_classes(
     least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "th")).alias("one")
     first = snapshot(prints.groupBy("fp", *shape.names).agg(least).select("fp", *shape.names, "one.id", "one.th"), "wide-distinct")
     close = shape.bits_for((1 + similarity) / 2)
-    links = snapshot(similar_links(first, shape, shape.bits_for(similarity), close, bucket_limit), "candidates")
+    max_bits = shape.bits_for(similarity)
+    links, crowds = _candidates(first, shape, max_bits, close, bucket_limit)
+    links = snapshot(links, "candidates")
     ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
     sets = snapshot(_shingle_sets(docs, id_col, first.join(ends, "fp", "left_semi"), width, seed), "shingles")
 
@@ -380,10 +480,28 @@ def similar_classes(
     open_ = links.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = open_.where(~F.coalesce("a_root", "a").eqNullSafe(F.coalesce("b_root", "b"))).join(closest, ["a", "b"], "left_anti")
     more = snapshot(_verified(apart, sets, similarity), "verified-more")
+    verified, spare = sure, [links, sets, sure, more]
     if not more.isEmpty():
-        root = components(sure.unionByName(more))
+        verified = sure.unionByName(more)
+        root = components(verified)
+    if not crowds.isEmpty():
+        sketches = sets.select("fp", F.size("shingles").alias("n"), "sketch")
+        known = crowds.join(sketches, "fp")  # rows without any candidate have no sketch
+        columns, tested = ["key", *shape.names, "root", "n", "sketch"], links.select("a", "b")
+        for span in (True, False):
+            rooted = known.join(root.select(F.col("vertex").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            dealt = rooted.select(*columns).repartition("key").sortWithinPartitions("key")
+            pairs = map_batches(dealt, _between(max_bits, similarity, shape, span), "a binary, b binary")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            pairs = snapshot(pairs, "crowd-pairs")
+            found = snapshot(_verified(pairs, sets, similarity), "crowd-verified")
+            tested = tested.unionByName(pairs)
+            spare += [pairs, found]
+            if not found.isEmpty():
+                verified = verified.unionByName(found)
+                root = components(verified)
     classes = snapshot(name_classes(first.select("fp", F.col("id").alias("__first")), root), "wide-classes")
-    for table in (links, sets, sure, more):
+    for table in spare:
         drop_snapshot(table)
     # Hot fingerprints sit on the left side only; a skewed partition is split at run time.
     return prints.select(id_col, "fp").join(classes, "fp").select(id_col, "component_id")

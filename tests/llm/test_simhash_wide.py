@@ -101,6 +101,45 @@ def test_edited_copies_go_and_others_stay(spark):
     assert gone <= similar and len(gone) >= 0.9 * len(similar) and 50 < len(similar) < 150
 
 
+@pytest.mark.parametrize("limit", [100, 1 << 15])
+def test_no_link_of_a_large_family_is_left_out(spark, limit):
+    """A family of one passage: nearly all its rows are close in bits, but only twins are similar enough. Classes are those of
+    all pairs that share a bucket, and of the family's bits."""
+    rng = random.Random(11)
+
+    def edit(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"new{rng.random()}"
+        return words
+
+    first, docs = [f"w{i}" for i in range(250)], []
+    for _ in range(200):
+        one = edit(first, 4)
+        docs += [one, edit(one, rng.choice([4, 5, 5, 6]))]
+    rng.shuffle(docs)
+    texts = [" ".join(d) for d in docs]
+    prints = [as_int(x) for x in wide.wide_fingerprints(texts, 3)]
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 39 and has_close_segment(prints[i], prints[j])]
+    linked = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 20_000 and 100 < len(linked) < 0.02 * len(pairs)
+    got = wide.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bucket_limit=limit)
+    assert {r.doc_id: r.component_id for r in got.collect()} == roots(range(len(texts)), linked)
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (1, 9, 300, 9000):
+        sets = [rng.integers(-(1 << 62), 1 << 62, size) for _ in range(20)]
+        sets += [np.unique(np.concatenate([s[size // 8 :], rng.integers(0, 1 << 62, size // 9)])) for s in sets]
+        sketches = wide._sketches(sets)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert wide._differ(sketches[i], sketches[j]) <= len(np.setxor1d(a, b))
+    assert not wide._sketches([np.zeros(0, np.int64)]).any()
+
+
 def test_a_chain_is_one_class_and_a_star_of_many_too(spark):
     """Neighbours of a chain are similar, its ends are not; copies of one text are similar to it alone."""
     words = [f"w{i}" for i in range(2000)]
