@@ -146,11 +146,11 @@ def _numbered(ordered: RDD) -> tuple[RDD, int, int]:
 # -- supersteps
 
 
-def _kept(rdd: RDD, name: str, spark: SparkSession) -> RDD:
-    """``rdd`` written to the shared folder and read again."""
+def _kept(rdd: RDD, name: str, spark: SparkSession, parts: int) -> RDD:
+    """``rdd`` written to the shared folder and read again, by ``parts`` tasks at most, however many files it has."""
     path = scratch_path(spark, name)
     rdd.saveAsPickleFile(path, 256)
-    return spark.sparkContext.pickleFile(path)
+    return spark.sparkContext.pickleFile(path).coalesce(parts)
 
 
 def _upward(leaves: RDD, trees: int, total: int, most: int, spark: SparkSession) -> tuple[list[tuple[RDD, int]], bytes, tuple]:
@@ -175,7 +175,7 @@ def _upward(leaves: RDD, trees: int, total: int, most: int, spark: SparkSession)
         nodes = nodes // FAN_OUT + trees
         parts = min(most, 1 + nodes // VERTICES)
         met = inbox.groupByKey(parts).mapValues(lambda got: sorted(got))  # FAN_OUT messages at most
-        met = _kept(met, "merkle-up", spark)
+        met = _kept(met, "merkle-up", spark, parts)
         full = met.filter(complete)
         steps.append((full, parts))
         done = full.filter(lambda f: _parent(f[0], trees) is None).collect()  # the root, once
@@ -209,7 +209,7 @@ def _downward(steps: list[tuple[RDD, int]], root: tuple, digest: bytes, spark: S
 
     mail, leaves = spark.sparkContext.parallelize([(root, ([], digest))], 1), []
     for families, parts in reversed(steps):
-        out = _kept(families.cogroup(mail, parts).flatMap(step), "merkle-down", spark)
+        out = _kept(families.cogroup(mail, parts).flatMap(step), "merkle-down", spark, parts)
         leaves.append(out.filter(lambda x: x[0]).map(lambda x: x[1]))
         mail = out.filter(lambda x: not x[0]).map(lambda x: x[1])
     return spark.sparkContext.union(leaves)
@@ -260,7 +260,8 @@ def manifest(
     order = ("tree", "id", "leaf", "row")
     ordered = rows.repartitionByRange(most, *order).sortWithinPartitions(*order).drop("row")
     numbered, trees, total = _numbered(ordered.rdd.map(tuple))
-    leaves = _kept(numbered.map(lambda r: (r[0], r[1], bytes(r[2]), None if r[3] is None else bytes(r[3]))), "merkle-leaves", spark)
+    plain = numbered.map(lambda r: (r[0], r[1], bytes(r[2]), None if r[3] is None else bytes(r[3])))
+    leaves = _kept(plain, "merkle-leaves", spark, min(most, 1 + total // VERTICES))
     drop_snapshot(rows)
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {RESULT}"

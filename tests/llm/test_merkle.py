@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from gradus.llm import merkle
@@ -104,3 +105,20 @@ def test_layout_over_partitions():
     layout, trees, total = merkle._layout(runs)
     assert (trees, total) == (4, 9)
     assert layout == {0: (0, 0, 4, 4), 2: (0, 2, 4, 4), 3: (0, 3, 4, 2), 4: (2, 1, 2, 1)}
+
+
+def test_small_supersteps_take_few_tasks(spark, monkeypatch):
+    """Where shuffles are dealt over many partitions, what they wrote is read again by a few tasks."""
+    rows = [(i, "s", "en" if i % 3 else "fr", 1, f"Text {i}") for i in range(600)]
+    dealt = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *a, **b: dealt(self, max(24, n or 0), *a, **b))
+    context = spark.sparkContext
+    context.setJobGroup("merkle-tasks", "test")
+    try:
+        assert made(spark, rows) == plain(rows)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("merkle-tasks") for s in tracker.getJobInfo(j).stageIds}
+    found = [tracker.getStageInfo(s) for s in stages]
+    assert 100 < sum(x.numCompletedTasks for x in found if x) < 400
